@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from quillspan.llm import bpe, quality, sharding, simhash, urlfilter, wavelet
 from quillspan.llm import license as licenses
-from quillspan.llm import quality, sharding, urlfilter
 
 
 def queries() -> dict:
     return {
+        "op1_simhash_pivots": simhash.op1,
         "op2_distribution_divergence": quality.op2,
         "op3_license_dice": licenses.op3,
         "op4_url_range_join": urlfilter.op4,
+        "op5_wavelet_shards": wavelet.op5,
+        "op8_bpe_tree": bpe.op8,
         "op9_stratified_interleaving": sharding.op9,
     }
 
