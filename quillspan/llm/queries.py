@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspan.llm import bpe, quality, sharding, simhash, urlfilter, wavelet
+from quillspan.llm import bpe, decontam, quality, sharding, simhash, substring, toxicity, urlfilter, wavelet
 from quillspan.llm import license as licenses
 
 
@@ -13,8 +13,11 @@ def queries() -> dict:
         "op3_license_dice": licenses.op3,
         "op4_url_range_join": urlfilter.op4,
         "op5_wavelet_shards": wavelet.op5,
+        "op6_difference_cover": substring.op6,
+        "op7_pigeonhole_edits": decontam.op7,
         "op8_bpe_tree": bpe.op8,
         "op9_stratified_interleaving": sharding.op9,
+        "op10_toxicity_trees": toxicity.op10,
     }
 
 
