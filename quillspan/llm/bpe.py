@@ -8,22 +8,25 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: A text of more bytes than this is cut into halves.
-LEAF_BYTES = 2048
+LEAF_BYTES = 8192
 #: Tokens on each side of a join that the first window takes, and how many of them must agree.
 WINDOW, AGREE = 8, 3
 #: A window of so many tokens a side may end inside a run without a safe cut; a quarter of them must agree.
 UNSPLIT = 64
-CACHED_PIECES = 400_000
-#: Before a space that something else than white space follows, byte-level BPE always starts a new piece.
-_cut = re.compile(r" (?=\S)").split
+#: Pieces whose ids are kept, about 150 bytes each, and how many new ones are encoded in one text.
+CACHED_PIECES, TOGETHER = 700_000, 500
+#: Before a space that something else than white space follows, byte-level BPE always starts a new piece. This is any other space.
+_ODD_GAP = r" ($|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])"
+#: Text that is encoded at a time.
+SLICE_BYTES = 6 << 20
 
 
 class Encoder:
@@ -45,24 +48,53 @@ class Encoder:
         #: Tokens that start at a safe cut wherever they stand.
         self.starts = np.array([len(b) > 1 and b[0] == 32 and 33 <= b[1] <= 126 and n not in self.special for b, n in zip(self.bytes, names)])
         self.decimal = [str(i) for i in range(size)]
-        self.first: dict[str, bytes] = {"": b""}
         self.later: dict[str, bytes] = {}
 
-    def _fill(self, kept: dict[str, bytes], lead: str, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in kept]
-        if new:
-            for p, e in zip(new, self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False)):
-                kept[p] = np.array(e.ids, "<u4").tobytes()
+    def _fill(self, pieces: list[str], sizes: np.ndarray) -> None:
+        """Encode pieces that follow a space, many in a text, and part the ids again by what they decode to: a piece starts at a safe cut."""
+        at = range(0, len(pieces), TOGETHER)
+        for i, e in zip(at, self.tokenizer.encode_batch_fast([" " + " ".join(pieces[i : i + TOGETHER]) for i in at], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = 4 * (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes[i : i + TOGETHER] + 1)) + 1)
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.later.update(zip(pieces[i : i + TOGETHER], [raw[x:y] for x, y in zip([0, *ends], ends)]))
+
+    def whole(self, text: str) -> np.ndarray:
+        """The ids of a short text."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def plain(self, texts: list[str]) -> list[np.ndarray]:
+    def plain(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of whole texts, as the library gives them. Texts are cut before spaces only where that changes nothing."""
-        if len(self.later) + len(self.first) > CACHED_PIECES:
-            self.first, self.later = {"": b""}, {}
-        cut = [_cut(t) for t in texts]
-        self._fill(self.first, "", {c[0] for c in cut})
-        self._fill(self.later, " ", set().union(*(c[1:] for c in cut)) if cut else set())
-        later = self.later.__getitem__
-        return [np.frombuffer(self.first[c[0]] + b"".join(map(later, c[1:])), "<u4") for c in cut]
+        if not len(texts):
+            return []
+        if len(self.later) > CACHED_PIECES:
+            self.later = {}
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, _ODD_GAP).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.if_else(pa.array(odd), "", column), " ")
+        coded = split.values.dictionary_encode()
+        known, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        # A text's first piece has no space before it, and a text with an odd gap is one piece: both come after the known.
+        begin = split.offsets.to_numpy()[:-1]
+        first = [column[i].as_py() if o else known[which[b]] for i, (o, b) in enumerate(zip(odd.tolist(), begin.tolist()))]
+        which[begin] = len(known) + np.arange(len(texts))
+        used = np.zeros(len(known) + len(texts), bool)
+        used[which] = True
+        parts = list(map(self.later.get, known))
+        new = [i for i in np.flatnonzero(used[: len(known)]).tolist() if parts[i] is None]
+        if new:
+            pieces = [known[i] for i in new]
+            self._fill(pieces, pc.binary_length(coded.dictionary).to_numpy()[new])
+            for i, p in zip(new, pieces):
+                parts[i] = self.later[p]
+        own = self.tokenizer.encode_batch_fast(first, add_special_tokens=False)
+        parts = [x or b"" for x in parts] + [np.array(e.ids, "<u4").tobytes() for e in own]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        start = np.cumsum(size) - size
+        n = size[which]
+        end = np.cumsum(n)
+        ids = np.frombuffer(b"".join(parts), "<u4")[np.repeat(start[which] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+        return np.split(ids, np.concatenate([[0], end])[begin[1:]])
 
     def _halve(self, raw: bytes, lo: int, hi: int, leaves: list[tuple[int, int]]):
         """The tree over raw[lo:hi]: a leaf's number, or (left, middle, right)."""
@@ -97,7 +129,7 @@ class Encoder:
             while j < len(right) and b < hi and raw[b] & 0xC0 == 0x80:
                 b += int(self.lengths[right[j]])
                 j += 1
-            new = self.plain([raw[a:b].decode()])[0]
+            new = self.whole(raw[a:b].decode())
             if (i == 0 or self._agrees(left[i:], new, k)) and (j == len(right) or self._agrees(right[:j][::-1], new[::-1], k, back=True)):
                 return np.concatenate([left[:i], new, right[j:]])
             k *= 2
@@ -143,6 +175,12 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) if b in prints else chr(next(spare)) for b in range(256)}
 
 
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about SLICE_BYTES of a text column."""
+    n = max(1, -(-batch.num_rows * SLICE_BYTES // max(1, batch.column(column).nbytes)))
+    return (batch.slice(i, n) for i in range(0, batch.num_rows, n))
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -164,7 +202,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for part in slices(batch, "text"):
                 found = own.encode([t or "" for t in part.column("text").to_pylist()])
                 text_of = own.decimal.__getitem__
                 out = [
