@@ -11,6 +11,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ NEAR = 5
 FEATURES = ["fixed", "learned", "known", "kinds", "log_known", "burst", "near_you", "you", "capitals", "shouted", "exclaim", "question", "signs", "disguised", "disguised_known", "log_words"]
 
 _word = re.compile(r"[^\W_]+").findall
-_mixed = re.compile(r"[^\W\d_]+[0-9@$!*]+[^\W\d_]\w*").findall
+_mixed = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$!*]++[^\W\d_]\w*").findall  # each run of letters is tried once
 _spelt = re.compile(r"\b(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]\b").findall
 _shout = re.compile(r"\b[A-Z]{3,}\b").findall
 _apart = re.compile(r"[ .\-_*]")
@@ -192,19 +193,34 @@ class Model:
         return np.clip(0.998 * fit + 0.002 / (1 + np.exp(-raw)), 0.0, 1.0)
 
 
+def _entries(text: str | None) -> dict[str, int]:
+    """Each word and stem of a text, with a hash of the words around its first place."""
+    words = _word((text or "").lower())
+    found: dict[str, int] = {}
+    for i, w in enumerate(words):
+        for entry in (w, *(w[:n] + "*" for n in STEMS if len(w) > n)):
+            if entry not in found:
+                found[entry] = crc32(" ".join(words[max(0, i - 1) : i + 2]).encode())
+    return found
+
+
 def _lexicon(sample: DataFrame) -> frozenset[str]:
     """Words and stems that are far likelier in toxic texts of the sample, in many contexts: what only copies share has few."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    each = sample.select("toxic", F.xxhash64("text").alias("t"), words.alias("w"))
-    each = each.select("toxic", "t", "w", F.posexplode("w").alias("i", "one"))
-    # Up to two words around: copies share those, other uses don't.
-    around = F.xxhash64(F.slice("w", F.greatest(F.col("i"), F.lit(1)), 3))
-    stems = [F.when(F.char_length("one") > n, F.concat(F.substring("one", 1, n), F.lit("*"))) for n in STEMS]
-    each = each.select("toxic", "t", around.alias("c"), F.explode(F.array_compact(F.array("one", *stems))).alias("word"))
-    stats = each.groupBy("word").agg(F.countDistinct("t").alias("n"), F.countDistinct(F.when(F.col("toxic") == 1, F.col("t"))).alias("bad"), F.countDistinct("c").alias("c"))
-    total, toxic = each.agg(F.countDistinct("t"), F.countDistinct(F.when(F.col("toxic") == 1, F.col("t")))).first()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 100):
+                own = [(w, y, c) for t, y in zip(*(batch.column(n).slice(i, 100).to_pylist() for n in ("text", "toxic"))) for w, c in _entries(t).items()]
+                cols = list(zip(*own)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["word", "toxic", "c"])
+
+    once = sample.select("text", "toxic", F.xxhash64("text").alias("t")).dropDuplicates(["t"])
+    total, toxic = once.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == total:
         return frozenset()
+    each = once.select("text", "toxic").mapInArrow(run, "word string, toxic int, c long")
+    stats = each.groupBy("word", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
+    stats = stats.groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("c"))
     odds = F.log((F.col("bad") + 0.5) / F.lit(float(toxic))) - F.log((F.col("n") - F.col("bad") + 0.5) / F.lit(float(total - toxic)))
     top = stats.where((F.col("n") >= LEXICON_TEXTS) & (F.col("c") >= 0.8 * F.col("n"))).withColumn("odds", odds).where(F.col("odds") >= LEXICON_ODDS)
     return frozenset(r.word for r in top.orderBy(F.desc("odds"), "word").limit(LEXICON_WORDS).collect())
