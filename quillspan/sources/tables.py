@@ -8,12 +8,21 @@ from pyspark.sql import functions as F
 from quillspan.operators.rowquality import first_rows
 from quillspan.plans.contracts import require_columns, require_unique
 
+_CONTROLS = "".join(chr(i) for i in range(0x80, 0xA0) if bytes([i]).decode("cp1252", "ignore"))
+_SIGNS = "".join(bytes([ord(c)]).decode("cp1252") for c in _CONTROLS)
 
-def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "windows-1252")) -> DataFrame:
-    """A CSV with a header, all columns text, in the first encoding that leaves no replacement character; no types are guessed."""
+
+def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
+    """A CSV with a header, all columns text, in the first encoding that leaves no replacement character; no types are guessed.
+
+    Spark allows no other charset than ISO-8859-1 for Western text unless spark.sql.legacy.javaCharsets is set; the signs
+    that cp1252 has between 0x80 and 0x9F are then mapped here.
+    """
     for i, encoding in enumerate(encodings):
         df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
         df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+        if encoding == "ISO-8859-1":
+            return df.select(*[F.translate(F.col(f"`{c}`"), _CONTROLS, _SIGNS).alias(c) for c in df.columns])
         if i == len(encodings) - 1 or not df.columns:
             break
         broken = F.exists(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in df.columns]), lambda x: x.contains("�"))

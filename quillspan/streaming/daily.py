@@ -12,7 +12,8 @@ def daily_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", va
     The sum is of 4-digit decimals, so it doesn't depend on the order of arrival.
     """
     if watermark:
-        events = events.withWatermark(ts, watermark)
+        # A watermark needs an instant; a local time is taken as one of the session's zone.
+        events = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     total = F.sum(F.round(F.col(value), 4).cast("decimal(18,4)")).alias("total")
     days = events.groupBy(F.window(ts, "1 day"), F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("events"), total)
     return days.select(F.col("window.start").cast("date").alias("day"), "kind", "events", F.col("total").cast("decimal(28,4)").alias("total"))
