@@ -111,7 +111,9 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     copies = rows.select("key", "seq").join(first, "seq").where("key > low").select("key", "seq").distinct()
     copies = scratch(copies, "copies")
     each = rows.select("key", F.explode("anchors").alias("h"))
-    twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # Counts are written before they are joined: AQE splits a hot key only between two exchanges of a join's own.
+    twice = scratch(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
+    free_shuffles(spark)
     shared = each.join(twice, "h", "left_semi")
     shared = shared.groupBy("key").agg(F.collect_set("h").alias("shared")).join(first.select(F.col("low").alias("key")).distinct(), "key", "left_semi")
     shared = scratch(shared, "shared")
@@ -122,6 +124,8 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     free_shuffles(spark)
     each = windows.select("key", "seq", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select("key", "seq", F.col("w.hashes").alias("h"), F.col("w.starts").alias("s"))
     owner = each.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("h", "low")
+    owner = scratch(owner, "owner")
+    free_shuffles(spark)
     later = each.join(owner, "h").where("key > low").groupBy("key", "seq").agg(F.array_sort(F.collect_set("s")).alias("starts"))
     later = later.select("key", "seq", F.lit(False).alias("whole"), "starts")
     copies = copies.select("key", "seq", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("starts"))
