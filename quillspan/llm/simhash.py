@@ -197,7 +197,7 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     groups = connected_components(links)
     groups = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "low")
     groups = scratch(groups, "groups")
-    least = groups.groupBy("root").agg(F.min("low").alias("component_id"))
+    least = scratch(groups.groupBy("root").agg(F.min("low").alias("component_id")), "least")
     ids = groups.join(least, "root").select("fp", "component_id")
     return rows.join(ids, "fp").select(F.col("key").alias(key), hexadecimal("fp").alias("fingerprint"), "component_id")
 

@@ -108,7 +108,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     # Copies: the first of each word sequence stands for all of them from here on.
     first = rows.groupBy("seq").agg(F.min("key").alias("low"))
     first = scratch(first, "first")
-    copies = rows.select("key", "seq").join(first, "seq").where("key > low").select("key", "seq").distinct()
+    copies = rows.select("key", "seq").join(first, "seq").where("key > low").select("key", "seq")
     copies = scratch(copies, "copies")
     each = rows.select("key", F.explode("anchors").alias("h"))
     # Counts are written before they are joined: AQE splits a hot key only between two exchanges of a join's own.
