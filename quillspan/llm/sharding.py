@@ -24,16 +24,16 @@ def _ranked(df: DataFrame, group: list[str], bucket: Column, order: list, name:
 
     Only counts of a bucket are gathered by group, so a group with any share of the rows is still dealt out.
     """
-    df = df.withColumn("_bucket", bucket)
-    keys = [*group, "_bucket"]
-    before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = df.withColumn("_i", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
-    starts = starts.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], "_start")
-    same = [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)]
+    df = df.withColumn("__qs_bucket", bucket)
+    keys = [*group, "__qs_bucket"]
+    before = W.partitionBy(*group).orderBy("__qs_bucket").rowsBetween(W.unboundedPreceding, -1)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__qs_n"))
+    starts = counts.select(*keys, F.coalesce(F.sum("__qs_n").over(before), F.lit(0)).alias("__qs_start"))
+    inside = df.withColumn("__qs_i", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
+    starts = starts.select(*[F.col(k).alias(f"__qs_r{i}") for i, k in enumerate(keys)], "__qs_start")
+    same = [F.col(k).eqNullSafe(F.col(f"__qs_r{i}")) for i, k in enumerate(keys)]
     joined = inside.join(starts, same)
-    return joined.withColumn(name, F.col("_start") + F.col("_i")).drop("_start", "_i", "_bucket", *[f"_r{i}" for i in range(len(keys))])
+    return joined.withColumn(name, F.col("__qs_start") + F.col("__qs_i")).drop("__qs_start", "__qs_i", "__qs_bucket", *[f"__qs_r{i}" for i in range(len(keys))])
 
 
 def interleave(docs: DataFrame, shards: int, key: str = "doc_id", stratum: str = "source", seed: int = 7, groups: int = GROUPS) -> DataFrame:
@@ -44,22 +44,23 @@ def interleave(docs: DataFrame, shards: int, key: str = "doc_id", stratum: str =
     runs whose sizes differ by one at most, so each shard holds each stratum in proportion.
 
     Null strata are a stratum of their own. Rows with a null or repeated key keep a place of their own; which of
-    two rows with the same key comes first is not defined. An empty table gives an empty result. ``docs`` may have
-    any other columns but _bucket, _start, _i, _h, _n, _r<i>, _rank, _f, _pos, shard and slot.
+    two rows with the same key comes first is not defined. An empty table gives an empty result. Columns of ``docs``
+    named shard or slot are replaced.
     """
+    docs = docs.drop("shard", "slot")
     total = docs.count()
     buckets = 1 + groups * math.isqrt(total)
     top = 1 << 60
-    df = docs.withColumn("_h", F.coalesce(shuffle_key(seed, key), F.lit(0)))
-    df = _ranked(df, [stratum], (F.col("_h") / F.lit(top) * F.lit(buckets)).cast("int"), ["_h", key], "_rank")
-    sizes = docs.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(stratum, "_s")
-    df = df.join(sizes, F.col(stratum).eqNullSafe(F.col("_s"))).withColumn("_f", (F.col("_rank") + 0.5) / F.col("_n"))
-    df = scratch(df.drop("_s", "_n", "_rank"), "shards")
-    df = df.withColumn("_all", F.lit(0))
-    df = _ranked(df, ["_all"], (F.col("_f") * F.lit(buckets)).cast("int"), ["_f", F.col(stratum).asc_nulls_first(), "_h", key], "_pos")
-    df = df.withColumn("shard", F.expr(f"cast((_pos * {shards}L) div {max(total, 1)}L as int)"))
+    df = docs.withColumn("__qs_h", F.coalesce(shuffle_key(seed, key), F.lit(0)))
+    df = _ranked(df, [stratum], (F.col("__qs_h") / F.lit(top) * F.lit(buckets)).cast("int"), ["__qs_h", key], "__qs_rank")
+    sizes = docs.groupBy(stratum).agg(F.count(F.lit(1)).alias("__qs_n")).withColumnRenamed(stratum, "__qs_s")
+    df = df.join(sizes, F.col(stratum).eqNullSafe(F.col("__qs_s"))).withColumn("__qs_f", (F.col("__qs_rank") + 0.5) / F.col("__qs_n"))
+    df = scratch(df.drop("__qs_s", "__qs_n", "__qs_rank"), "shards")
+    df = df.withColumn("__qs_all", F.lit(0))
+    df = _ranked(df, ["__qs_all"], (F.col("__qs_f") * F.lit(buckets)).cast("int"), ["__qs_f", F.col(stratum).asc_nulls_first(), "__qs_h", key], "__qs_pos")
+    df = df.withColumn("shard", F.expr(f"cast((__qs_pos * {shards}L) div {max(total, 1)}L as int)"))
     first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
-    return df.withColumn("slot", F.col("_pos") - first).drop("_h", "_f", "_pos", "_all")
+    return df.withColumn("slot", F.col("__qs_pos") - first).drop("__qs_h", "__qs_f", "__qs_pos", "__qs_all")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

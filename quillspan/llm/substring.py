@@ -152,21 +152,22 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     removed if the window's word sequence also starts in a row with a smaller key; windows are judged on the input.
     A text that loses words becomes its other words joined by one space, any other text stays as it is. kept_sha256 is
     that of the kept words joined by one space. Null texts have no words and stay null. Rows with a null key keep all
-    and own nothing; rows of the same key don't remove each other's words. The key is cast to long for comparisons;
-    ``docs`` may not have the columns n_words, n_removed, kept_sha256 or _found.
+    and own nothing; rows of the same key don't remove each other's words. The key is cast to long for comparisons.
+    Columns of ``docs`` named n_words, n_removed or kept_sha256 are replaced.
 
     Shuffles: anchors (a fifth of the words, 16 bytes each) twice, the windows around shared anchors twice, and the
     texts twice, each time against a narrow table. A passage that any share of the documents has is first counted
     map-side; the joins against those counts are sort-merge joins, whose hot keys AQE splits.
     """
-    found = repeated_windows(docs, key, text).withColumnRenamed("key", "_key").withColumnRenamed("found", "_found")
-    joined = docs.join(found, docs[key].cast("long") == F.col("_key"), "left").drop("_key")
+    docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    found = repeated_windows(docs, key, text).withColumnRenamed("key", "__qs_key").withColumnRenamed("found", "__qs_found")
+    joined = docs.join(found, docs[key].cast("long") == F.col("__qs_key"), "left").drop("__qs_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             for batch in (whole_batch.slice(i, 500) for i in range(0, whole_batch.num_rows, 500)):
                 texts, counts, removed, shas = [], [], [], []
-                for body, marks in zip(batch.column(text).to_pylist(), batch.column("_found").to_pylist()):
+                for body, marks in zip(batch.column(text).to_pylist(), batch.column("__qs_found").to_pylist()):
                     whole, starts, ends = spread(body)
                     gone = 0
                     if marks:

@@ -263,8 +263,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs``, with score (0 to 1) and predicted (1 at THRESHOLD or more) added; one row for each, no shuffle.
 
-    Null and empty texts get the score of a text without any feature. ``docs`` may not have columns score and predicted.
+    Null and empty texts get the score of a text without any feature. Columns named score or predicted are replaced.
     """
+    docs = docs.drop("score", "predicted")
     names, heads = docs.columns, lexicon_heads(model.learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

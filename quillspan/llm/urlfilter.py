@@ -18,9 +18,9 @@ from quillspan.session import scratch
 
 ALLOW, BLOCK = "allow", "block"
 #: Split points are chosen from a sample of about this many keys for each range; every row is judged.
-SAMPLE_PER_RANGE = 50
+SAMPLE_PER_RANGE = 20
 #: URLs in a range, about.
-RANGE_ROWS = 100_000
+RANGE_ROWS = 1_000_000
 
 
 def url_parts(url: str):

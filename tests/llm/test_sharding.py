@@ -25,7 +25,7 @@ def brute(rows, shards, seed=7):
 def test_against_brute_force(spark):
     r = random.Random(1)
     rows = [(k, r.choice(["hot"] * 12 + ["a", "b", "c", "", None])) for k in range(0, 6000, 3)]
-    docs = spark.createDataFrame([(k, s, "x") for k, s in rows], "doc_id long, source string, size string").repartition(7)
+    docs = spark.createDataFrame([(k, s, "x", 9) for k, s in rows], "doc_id long, source string, _n string, shard int").repartition(7)
     for groups in (1, 4):
         got = {x.doc_id: (x.shard, x.slot) for x in sharding.interleave(docs, 40, groups=groups).collect()}
         assert got == brute(rows, 40)

@@ -54,7 +54,7 @@ def corpus():
 
 def test_held_out_accuracy(spark):
     rows, known, truth = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
     labels = spark.createDataFrame(known, "doc_id long, toxic int")
     model = tox.fit(docs, labels)
     assert any(w.startswith("zzor") for w in model.learned)
