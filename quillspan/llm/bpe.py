@@ -21,18 +21,18 @@ LEAF_BYTES = 8192
 WINDOW, AGREE = 8, 3
 #: A window of so many tokens a side may end inside a run without a safe cut; a quarter of them must agree.
 UNSPLIT = 64
-#: Pieces whose ids are kept, about 150 bytes each, and how many new ones are encoded in one text.
-CACHED_PIECES, TOGETHER = 700_000, 500
+#: Pieces whose ids a process keeps, some 200 bytes each, and how many new ones are encoded in one text.
+CACHED_PIECES, TOGETHER = 600_000, 500
 #: Before a space that something else than white space follows, byte-level BPE always starts a new piece. This is any other space.
 _ODD_GAP = r" ($|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])"
 #: Text that is encoded at a time.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 8 << 20
 
 
 class Encoder:
     """A tokenizer file of the tokenizers library, with what it said about short pieces kept."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHED_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -48,7 +48,7 @@ class Encoder:
         #: Tokens that start at a safe cut wherever they stand.
         self.starts = np.array([len(b) > 1 and b[0] == 32 and 33 <= b[1] <= 126 and n not in self.special for b, n in zip(self.bytes, names)])
         self.decimal = [str(i) for i in range(size)]
-        self.later: dict[str, bytes] = {}
+        self.most, self.later = most, {}
 
     def _fill(self, pieces: list[str], sizes: np.ndarray) -> None:
         """Encode pieces that follow a space, many in a text, and part the ids again by what they decode to: a piece starts at a safe cut."""
@@ -67,17 +67,17 @@ class Encoder:
         """The ids of whole texts, as the library gives them. Texts are cut before spaces only where that changes nothing."""
         if not len(texts):
             return []
-        if len(self.later) > CACHED_PIECES:
+        if len(self.later) > self.most:
             self.later = {}
         column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         odd = pc.match_substring_regex(column, _ODD_GAP).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(pc.if_else(pa.array(odd), "", column), " ")
         coded = split.values.dictionary_encode()
-        known, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        known, which = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int32)
         # A text's first piece has no space before it, and a text with an odd gap is one piece: both come after the known.
         begin = split.offsets.to_numpy()[:-1]
         first = [column[i].as_py() if o else known[which[b]] for i, (o, b) in enumerate(zip(odd.tolist(), begin.tolist()))]
-        which[begin] = len(known) + np.arange(len(texts))
+        which[begin] = len(known) + np.arange(len(texts), dtype=np.int32)
         used = np.zeros(len(known) + len(texts), bool)
         used[which] = True
         parts = list(map(self.later.get, known))
@@ -89,11 +89,12 @@ class Encoder:
                 parts[i] = self.later[p]
         own = self.tokenizer.encode_batch_fast(first, add_special_tokens=False)
         parts = [x or b"" for x in parts] + [np.array(e.ids, "<u4").tobytes() for e in own]
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        start = np.cumsum(size) - size
+        size = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+        kind = np.int32 if column.nbytes < 1 << 28 else np.int64  # no more ids than bytes
+        start = (np.cumsum(size, dtype=kind) - size).astype(kind)
         n = size[which]
-        end = np.cumsum(n)
-        ids = np.frombuffer(b"".join(parts), "<u4")[np.repeat(start[which] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+        end = np.cumsum(n, dtype=kind)
+        ids = np.frombuffer(b"".join(parts), "<u4")[np.repeat(start[which] - end + n, n) + np.arange(end[-1] if len(end) else 0, dtype=kind)]
         return np.split(ids, np.concatenate([[0], end])[begin[1:]])
 
     def _halve(self, raw: bytes, lo: int, hi: int, leaves: list[tuple[int, int]]):
@@ -175,20 +176,20 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) if b in prints else chr(next(spare)) for b in range(256)}
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about SLICE_BYTES of a text column."""
-    n = max(1, -(-batch.num_rows * SLICE_BYTES // max(1, batch.column(column).nbytes)))
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``size`` bytes of a text column."""
+    n = max(1, -(-batch.num_rows * size // max(1, batch.column(column).nbytes)))
     return (batch.slice(i, n) for i in range(0, batch.num_rows, n))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The process's encoder for a file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, most: int = CACHED_PIECES) -> Encoder:
+    """The process's encoder for a file, which keeps the ids of ``most`` pieces."""
+    if (path, most) not in _encoders:
+        _encoders[path, most] = Encoder(path, most)
+    return _encoders[path, most]
 
 
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:

@@ -13,22 +13,24 @@ again leaves one copy, in any store that Spark can write.
 from __future__ import annotations
 
 import uuid
-import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspan.llm.bpe import encoder, vocabulary
+from quillspan.llm.bpe import encoder, slices, vocabulary
 from quillspan.session import shared_dir
 
 BLOCK = 512
 #: Text of a shard, about.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
+#: Encoding for shards keeps more pieces and takes larger slices than elsewhere: it has its workers to itself.
+KEPT_PIECES, SLICE_BYTES = 1_000_000, 12 << 20
 #: Up to so many shards, their starts (16 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SHARDS = 100_000
 FILE = "first_doc long, n_docs long, n_tokens long, doc_ids binary, ends binary, zeros array<long>, planes array<binary>, ranks array<binary>"
@@ -46,22 +48,26 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         rest, zeros, planes = ids, [], []
         for b in range(bits - 1, -1, -1):
+            if b == 7:
+                rest = rest.astype(np.uint8)  # the bits above are written
             one = (rest & rest.dtype.type(1 << b)) != 0
             planes.append(np.packbits(one).tobytes())
-            low = rest[~one]
+            low = np.compress(~one, rest)
             zeros.append(len(low))
-            rest = np.concatenate([low, rest[one]])
+            rest = np.concatenate([low, np.compress(one, rest)])
         return cls(len(ids), zeros, planes)
 
     def ids(self) -> np.ndarray:
         """The whole sequence: the partings are undone from the lowest plane up."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
-        out = np.zeros(self.length, kind)
+        kind, out = np.uint8, np.zeros(self.length, np.uint8)
         for b, (plane, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
+            if b == 8:
+                kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+                out = out.astype(kind)
             one = np.unpackbits(plane, count=self.length).view(bool)
             up = np.empty_like(out)
-            up[~one] = out[:z]
-            up[one] = out[z:] | kind(1 << b)
+            up[np.flatnonzero(~one)] = out[:z]
+            up[np.flatnonzero(one)] = out[z:] | kind(1 << b)
             out = up
         return out
 
@@ -143,11 +149,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int, key: str
     kind = "<u2" if bits <= 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, KEPT_PIECES)
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for part in slices(batch, "text", SLICE_BYTES):
                 keys = part.column("key").to_pylist()
-                found = own.plain([t or "" for t in part.column("text").to_pylist()])
+                found = own.plain(pc.fill_null(part.column("text"), ""))
                 packed = [np.append(x, end).astype(kind).tobytes() for x in found]
                 yield pa.RecordBatch.from_arrays([pa.array([bisect_right(cuts, k) for k in keys], pa.int32()), part.column("key"), pa.array(packed, pa.binary())], ["shard", "key", "ids"])
 
