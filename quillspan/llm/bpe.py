@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from quillspan.llm.memory import releasing
+
 #: A text of more bytes than this is cut into halves.
 LEAF_BYTES = 8192
 #: Tokens on each side of a join that the first window takes, and how many of them must agree.
@@ -22,11 +24,11 @@ WINDOW, AGREE = 8, 3
 #: A window of so many tokens a side may end inside a run without a safe cut; a quarter of them must agree.
 UNSPLIT = 64
 #: Pieces whose ids a process keeps, some 200 bytes each, and how many new ones are encoded in one text.
-CACHED_PIECES, TOGETHER = 600_000, 500
+CACHED_PIECES, TOGETHER = 300_000, 500
 #: Before a space that something else than white space follows, byte-level BPE always starts a new piece. This is any other space.
 _ODD_GAP = r" ($|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])"
 #: Text that is encoded at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 class Encoder:
@@ -215,11 +217,12 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                 if keep_ids:
                     out.append(pa.array([x.tobytes() for x in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, names)
+        own.later = {}
 
     names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
     kind = docs.schema[key].dataType.simpleString()
     slim = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    out = slim.mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+    out = slim.mapInArrow(releasing(run), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
     return out.withColumnRenamed("key", key)
 
 

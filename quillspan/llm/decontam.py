@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.memory import parts as part_of
+from quillspan.llm.memory import releasing
+
 RATE = 0.15
 #: Items of fewer words are too common to tell anything and are left out.
 MIN_WORDS = 6
@@ -141,7 +144,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     def search(block: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
-            for batch in batches:
+            for batch in part_of(batches):
                 at, item, distance = [], [], []
                 for i, t in enumerate(batch.column("text").to_pylist()):
                     for k, d in matcher.find(t):
@@ -155,7 +158,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     parts = []
     for b in range(n):
         block = [(r.item, r.text) for r in own.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()]
-        parts.append(slim.mapInArrow(search(block), f"key {kind}, item long, distance int"))
+        parts.append(slim.mapInArrow(releasing(search(block)), f"key {kind}, item long, distance int"))
     return reduce(DataFrame.unionByName, parts).withColumnRenamed("key", key).withColumnRenamed("item", item_key)
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.memory import parts, releasing
 from quillspan.operators.components import connected_components
 from quillspan.session import scratch
 
@@ -51,13 +52,12 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int, seed: int)
     """(key, fp), one row for each row of ``docs``; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                found = np.array([fingerprint(t, shingle, seed) for t in part.column("text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found.view(np.int64))], ["key", "fp"])
+        for part in parts(batches):
+            found = np.array([fingerprint(t, shingle, seed) for t in part.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(found.view(np.int64))], ["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(run, f"key {kind}, fp long")
+    return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(releasing(run), f"key {kind}, fp long")
 
 
 def block_masks(blocks: int, equal: int) -> list[int]:

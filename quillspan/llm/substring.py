@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspan.llm.memory import parts, releasing
 from quillspan.llm.words import spread
 from quillspan.session import drop_scratch, scratch
 
@@ -59,7 +60,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, seq, anchors) of each text with a window."""
 
     def rows():
-        for batch in batches:
+        for batch in parts(batches):
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 whole, starts, ends = spread(text)
                 if len(ends) >= WINDOW and key is not None:
@@ -72,7 +73,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, seq, starts, hashes) of the windows that hold a shared anchor aligned with their start."""
 
     def rows():
-        for batch in batches:
+        for batch in parts(batches):
             for key, text, shared in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "shared"))):
                 whole, starts, ends = spread(text)
                 places = np.array(anchor_places(len(ends)), np.int64)
@@ -104,7 +105,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     spark = docs.sparkSession
     slim = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    rows = scratch(slim.mapInArrow(_anchors, "key long, seq binary, anchors array<long>"), "anchors")
+    rows = scratch(slim.mapInArrow(releasing(_anchors), "key long, seq binary, anchors array<long>"), "anchors")
     # Copies: the first of each word sequence stands for all of them from here on.
     first = rows.groupBy("seq").agg(F.min("key").alias("low"))
     first = scratch(first, "first")
@@ -119,7 +120,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     shared = scratch(shared, "shared")
     drop_scratch(rows)
     free_shuffles(spark)
-    windows = scratch(slim.join(shared, "key").mapInArrow(_windows, "key long, seq binary, starts array<int>, hashes array<long>"), "windows")
+    windows = scratch(slim.join(shared, "key").mapInArrow(releasing(_windows), "key long, seq binary, starts array<int>, hashes array<long>"), "windows")
     drop_scratch(shared)
     free_shuffles(spark)
     each = windows.select("key", "seq", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select("key", "seq", F.col("w.hashes").alias("h"), F.col("w.starts").alias("s"))
@@ -164,31 +165,30 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     joined = docs.join(found, docs[key].cast("long") == F.col("__qs_key"), "left").drop("__qs_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for batch in (whole_batch.slice(i, 500) for i in range(0, whole_batch.num_rows, 500)):
-                texts, counts, removed, shas = [], [], [], []
-                for body, marks in zip(batch.column(text).to_pylist(), batch.column("__qs_found").to_pylist()):
-                    whole, starts, ends = spread(body)
-                    gone = 0
-                    if marks:
-                        own = [m for m in marks if m["seq"] == sequence_key(whole)]
-                        if any(m["whole"] for m in own):
-                            gone, body, whole = len(ends), "", b""
-                        elif own:
-                            out = covered(len(ends), [s for m in own for s in m["starts"]])
-                            gone = int(out.sum())
-                            whole = b" ".join(whole[starts[i] : ends[i]] for i in np.flatnonzero(~out).tolist())
-                            body = whole.decode()
-                    texts.append(body)
-                    counts.append(len(ends))
-                    removed.append(gone)
-                    shas.append(hashlib.sha256(whole).hexdigest())
-                cols = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], [*names, "n_words", "n_removed", "kept_sha256"])
+        for batch in parts(batches):
+            texts, counts, removed, shas = [], [], [], []
+            for body, marks in zip(batch.column(text).to_pylist(), batch.column("__qs_found").to_pylist()):
+                whole, starts, ends = spread(body)
+                gone = 0
+                if marks:
+                    own = [m for m in marks if m["seq"] == sequence_key(whole)]
+                    if any(m["whole"] for m in own):
+                        gone, body, whole = len(ends), "", b""
+                    elif own:
+                        out = covered(len(ends), [s for m in own for s in m["starts"]])
+                        gone = int(out.sum())
+                        whole = b" ".join(whole[starts[i] : ends[i]] for i in np.flatnonzero(~out).tolist())
+                        body = whole.decode()
+                texts.append(body)
+                counts.append(len(ends))
+                removed.append(gone)
+                shas.append(hashlib.sha256(whole).hexdigest())
+            cols = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], [*names, "n_words", "n_removed", "kept_sha256"])
 
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(cut, f"{kinds}, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(releasing(cut), f"{kinds}, n_words long, n_removed long, kept_sha256 string")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

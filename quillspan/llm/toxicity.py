@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.memory import parts, releasing
 from quillspan.session import scratch
 
 #: Labelled rows that a fit uses at most; which ones depends on a hash of their key.
@@ -218,7 +219,7 @@ def _lexicon(sample: DataFrame) -> frozenset[str]:
     total, toxic = once.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == total:
         return frozenset()
-    each = once.select("text", "toxic").mapInArrow(run, "word string, toxic int, c long")
+    each = once.select("text", "toxic").mapInArrow(releasing(run), "word string, toxic int, c long")
     stats = each.groupBy("word", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
     stats = stats.groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("c"))
     odds = F.log((F.col("bad") + 0.5) / F.lit(float(toxic))) - F.log((F.col("n") - F.col("bad") + 0.5) / F.lit(float(total - toxic)))
@@ -245,11 +246,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     heads = lexicon_heads(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             own = [text_features(t, learned, heads) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), pa.array(own, pa.list_(pa.float64()))], ["key", "toxic", "x"])
 
-    rows = sorted(sample.mapInArrow(run, "key long, toxic int, x array<double>").collect())
+    rows = sorted(sample.mapInArrow(releasing(run), "key long, toxic int, x array<double>").collect())
     x, y = np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r.toxic for r in rows], float)
     trees = fit_trees(x, y)
     if len(set(y.tolist())) < 2:
@@ -269,14 +270,13 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
     names, heads = docs.columns, lexicon_heads(model.learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                x = np.array([text_features(t, model.learned, heads) for t in part.column(text).to_pylist()], float)
-                s = model.score(x)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
+        for part in parts(batches):
+            x = np.array([text_features(t, model.learned, heads) for t in part.column(text).to_pylist()], float)
+            s = model.score(x)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return docs.mapInArrow(releasing(run), f"{kinds}, score double, predicted int")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.llm.bpe import encoder, slices, vocabulary
+from quillspan.llm.memory import releasing
 from quillspan.session import shared_dir
 
 BLOCK = 512
@@ -172,9 +173,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int, key: str
         yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
     arrow = pa.schema([("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("ends", pa.binary()), ("zeros", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
-    ids = slim.mapInArrow(encode, "shard int, key long, ids binary")
+    ids = slim.mapInArrow(releasing(encode), "shard int, key long, ids binary")
     dealt = ids.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("key").drop("shard")
-    dealt.mapInArrow(build, FILE).write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(releasing(build), FILE).write.option("compression", "zstd").parquet(path)
 
 
 def read_documents(spark, path: str) -> DataFrame:
@@ -199,7 +200,7 @@ def read_documents(spark, path: str) -> DataFrame:
                     part = [ids[x:y].tobytes() for x, y in zip(s.tolist(), e.tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), row["first_doc"])), pa.array(keys[k : k + 1000]), pa.array(s), pa.array(e - s), pa.array(part, pa.binary())], ["first_doc", "doc_id", "at", "n_tokens", "ids"])
 
-    found = shards.drop("ranks").mapInArrow(unpack, "first_doc long, doc_id long, at long, n_tokens long, ids binary")
+    found = shards.drop("ranks").mapInArrow(releasing(unpack), "first_doc long, doc_id long, at long, n_tokens long, ids binary")
     return found.join(starts, "first_doc").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
 
 
