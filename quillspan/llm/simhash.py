@@ -30,24 +30,36 @@ SHORT_RUN = 48
 BY_CHANCE = 16
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash: bit i is set if over half of the shingles' XXH64 values, repeats included, have it."""
+def shingle_hashes(text: str | None, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """The XXH64 value of each shingle in order, repeats included; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     whole = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     stops = ends[min(shingle, len(words)) - 1 :]
-    found = np.array([xxh64_intdigest(whole[a:b], seed) for a, b in zip(starts[:n].tolist(), stops.tolist())], "<u8")
+    return np.array([xxh64_intdigest(whole[a:b], seed) for a, b in zip(starts[:n].tolist(), stops.tolist())], "<u8")
+
+
+def fold_hashes(found: np.ndarray) -> int:
+    """Bit i is set if over half of the values have it."""
+    n = len(found)
+    if not n:
+        return 0
     bits = np.unpackbits(found.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     most = 2 * bits.sum(0, dtype=np.int64) > n
     return int(np.packbits(most, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """The 64-bit SimHash: bit i is set if over half of the shingles' XXH64 values, repeats included, have it."""
+    return fold_hashes(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, key: str, text: str, shingle: int, seed: int) -> DataFrame:
     """(key, fp), one row for each row of ``docs``; fp is the fingerprint as a signed long."""
 
