@@ -233,6 +233,14 @@ def merge_master(spark, d):
     return _merged(spark, d).where("state not like '% %'").select("work_id", "state", "sanction_date", "in_recommended", "in_sanctioned", "in_completed", "conflict_fields")
 
 
+@query(f"""WITH {WORKS} SELECT work_id, CASE WHEN o_orderstatus = 'O' THEN state ELSE array_to_string(list_transform(string_split(state, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') END AS state,
+CASE WHEN o_orderstatus = 'O' THEN sanction_date ELSE (sanction_date + 1)::DATE END AS sanction_date, true AS in_recommended, o_orderstatus <> 'O' AS in_sanctioned, o_orderstatus = 'F' AS in_completed,
+CASE o_orderstatus WHEN 'O' THEN '' WHEN 'P' THEN 'sanction_date' ELSE 'work_category;sanction_date' END AS conflict_fields FROM works""")
+def merge_master_all(spark, d):
+    """``merge_master`` with the works whose state has several words as well."""
+    return _merged(spark, d).select("work_id", "state", "sanction_date", "in_recommended", "in_sanctioned", "in_completed", "conflict_fields")
+
+
 @query(f"""WITH {PAY}, {WORKS}, t AS (SELECT work_id, sanction_date < DATE '1990-01-01' AS x, first_expenditure_date < sanction_date AS a, total_disbursed_all_rows > sanction_amount AS b FROM works LEFT JOIN by_work USING (work_id)),
 u AS (SELECT 'expenditure_before_sanction' AS "check", work_id, a AS hit FROM t UNION ALL SELECT 'expenditure_total_exceeds_sanction', work_id, b FROM t)
 SELECT "check", count(hit) AS evaluated, count(*) FILTER (hit) AS hits, array_to_string(list_sort(list(work_id) FILTER (hit))[1:5], ',') AS sample FROM u GROUP BY 1""")
