@@ -43,7 +43,8 @@ def _audit(rows: dict[str, DataFrame], category: str) -> DataFrame:
     for name, df in rows.items():
         source = SOURCES[name]
         error = F.col("key__p.error") if source.key else F.lit(None).cast("string")
-        values = F.concat_ws("; ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.substring(f"{c}__raw", 1, 50), F.lit(""))) for c in source.columns])
+        cell = lambda c: F.substring(f"{c}__raw", 1, 50) if category == "summary" else F.col(f"{c}__raw")
+        values = F.concat_ws("; ", *[F.concat(F.lit(f"{c}="), F.coalesce(cell(c), F.lit(""))) for c in source.columns])
         parts.append(df.where(F.col("category") == category).select(F.lit(name).alias("source"), "source_row", "reason", error.alias("error"), values.alias("row_values")))
     return reduce(DataFrame.unionByName, parts)
 
