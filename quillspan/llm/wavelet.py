@@ -4,10 +4,11 @@ A wavelet matrix keeps a sequence as one bit-plane for each bit of an id, highes
 sequence is parted, stably, by the bit just written. Rank and select on the planes then give any token, the count of a
 token in a range, and the place of its k-th occurrence, without unpacking the sequence.
 
-File format: Parquet, a row for each shard, one shard in a part file: first_doc, n_docs, n_tokens, doc_ids (int64,
-little-endian), ends (int64: tokens up to each document's end), zeros (of each plane), planes (bits, first bit highest),
-ranks (uint32 for each plane: ones before each block of BLOCK bits). Spark's writer commits it, so a task that is run
-again leaves one copy, in any store that Spark can write.
+File format: Parquet, one shard in a part file, which is a row: part and seq (shards in order are sorted by them), before
+(ids in the earlier shards of the same part), n_docs, n_tokens, n_null (documents without a key, which come last), doc_ids
+(int64, little-endian), ends (int64: tokens up to each document's end), zeros (of each plane), planes (bits, first bit
+highest), ranks (uint32 for each plane: ones before each block of BLOCK bits). Spark's writer commits it, so a task that is
+run again leaves one copy, in any store that Spark can write.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from __future__ import annotations
 import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,13 +30,16 @@ from quillspan.llm.memory import releasing
 from quillspan.session import shared_dir
 
 BLOCK = 512
-#: Text of a shard, about.
-SHARD_BYTES = 16 << 20
+#: A shard is closed when it has so many ids; a document is never parted.
+SHARD_IDS = 6 << 20
+#: Text of a key range, about, and how many ranges there are at most; each is a sorted stream of documents, cut into shards on its way.
+#: The driver holds RANGE_SAMPLE keys for each range to choose them.
+RANGE_BYTES, MAX_RANGES, RANGE_SAMPLE = 16 << 20, 20_000, 30
 #: Encoding for shards keeps more pieces and takes larger slices than elsewhere: it has its workers to itself.
 KEPT_PIECES, SLICE_BYTES = 1_000_000, 12 << 20
-#: Up to so many shards, their starts (16 bytes each) are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_SHARDS = 100_000
-FILE = "first_doc long, n_docs long, n_tokens long, doc_ids binary, ends binary, zeros array<long>, planes array<binary>, ranks array<binary>"
+#: Stands for a null key.
+AFTER = 1 << 63
+FILE = "part int, seq int, before long, n_docs long, n_tokens long, n_null long, doc_ids binary, ends binary, zeros array<long>, planes array<binary>, ranks array<binary>"
 
 
 class WaveletMatrix:
@@ -134,74 +139,191 @@ def _block_ranks(plane: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(ones)]).astype("<u4")
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
+@dataclass
+class Shard:
+    """One row of a file, opened: tokens, counts and places from the planes, without unpacking them."""
+
+    matrix: WaveletMatrix
+    doc_ids: list[int | None]
+    ends: list[int]
+
+    @classmethod
+    def open(cls, row: dict) -> Shard:
+        keys = np.frombuffer(row["doc_ids"], "<i8").tolist()
+        keys[len(keys) - row["n_null"] :] = [None] * row["n_null"]
+        return cls(WaveletMatrix(row["n_tokens"], row["zeros"], row["planes"], row["ranks"]), keys, np.frombuffer(row["ends"], "<i8").tolist())
+
+    def span(self, i: int) -> tuple[int, int]:
+        """Where the i-th document starts and ends."""
+        return (self.ends[i - 1] if i else 0), self.ends[i]
+
+    def tokens(self, i: int, lo: int = 0, hi: int | None = None) -> list[int]:
+        """The ids of the i-th document from its lo-th to before its hi-th."""
+        start, end = self.span(i)
+        return [self.matrix.access(k) for k in range(start + lo, end if hi is None else min(end, start + hi))]
+
+    def count(self, value: int, i: int | None = None) -> int:
+        """How often an id stands in the shard, or in its i-th document."""
+        return self.matrix.count(value) if i is None else self.matrix.count(value, *self.span(i))
+
+    def places(self, value: int) -> Iterator[tuple[int | None, int]]:
+        """(document's key, place in it) of each occurrence of an id, in order."""
+        for k in range(self.matrix.count(value)):
+            at = self.matrix.select(value, k)
+            i = bisect_right(self.ends, at)
+            yield self.doc_ids[i], at - self.span(i)[0]
+
+
+def range_cuts(keyed: DataFrame, n: int, seed: int = 11) -> list[tuple[int, int]]:
+    """(key, salt) pairs that cut rows of those columns into ``n`` ranges of like numbers of rows; nulls are after all keys."""
+    rows = keyed.count() if n > 1 else 0
+    if not rows:
+        return []
+    most = n * RANGE_SAMPLE
+    some = keyed.sample(min(1.0, most / rows), seed).limit(2 * most).collect()
+    seen = sorted((AFTER if r.key is None else r.key, r.salt) for r in some)
+    return sorted({seen[len(seen) * i // n] for i in range(1, n)}) if seen else []
+
+
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int, key: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS, ranges: int | None = None) -> None:
     """Encode every text, append ``end``, and write the ids of all in ascending key order as wavelet matrices.
 
-    Null texts count as empty: just the end id. Rows with a null key are an error of the task; repeated keys stand
-    side by side, in no defined order. An empty table writes no shard. ``tokenizer``: as for ``encode_decode``.
-    Texts are encoded where they are read; only ids are shuffled, into key ranges of like numbers of rows.
+    Null texts count as empty: just the end id. Rows with a null key come after all others; rows of the same key stand
+    side by side, in the order of a hash of their texts, so equal rows are next to each other. An empty table writes no
+    shard. A very long text is one document of one shard, which is as large as it needs. Only the two named columns are
+    read. ``tokenizer``: as for ``encode_decode``.
+
+    Texts are encoded where they are read; only ids are shuffled, into ranges of (key, hash), so that a key with any share of
+    the rows is dealt over several. A task holds one open shard.
     """
     spark = docs.sparkSession
-    slim = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    rows, volume = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    n = max(1, volume // shard_bytes, min(rows // 500, 2 * spark.sparkContext.defaultParallelism))
-    cuts = sorted(set(map(int, slim.approxQuantile("key", [i / n for i in range(1, n)], 0.1 / n)))) if n > 1 and rows else []
-    bits = max(1, encoder(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True).bit_length(), int(end).bit_length())
-    kind = "<u2" if bits <= 16 else "<u4"
+    slim = docs.select(docs[key].cast("long").alias("key"), F.xxhash64(docs[text]).alias("salt"), docs[text].alias("text"))
+    volume = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count(F.lit(1))).first()[0]
+    n = ranges or min(MAX_RANGES, max(1, volume // RANGE_BYTES, min(volume // (1 << 18), 2 * spark.sparkContext.defaultParallelism)))
+    cuts = range_cuts(slim.select("key", "salt"), n)
+    own = encoder(tokenizer)
+    bits = max(1, len(own.lengths).bit_length(), int(end).bit_length())
+    kind = own.kind
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer, KEPT_PIECES)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                keys = part.column("key").to_pylist()
-                found = own.plain(pc.fill_null(part.column("text"), ""))
-                packed = [np.append(x, end).astype(kind).tobytes() for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array([bisect_right(cuts, k) for k in keys], pa.int32()), part.column("key"), pa.array(packed, pa.binary())], ["shard", "key", "ids"])
+                ids, ends = own.flat(pc.fill_null(part.column("text"), ""), end)
+                offsets = np.concatenate([[0], ends * kind.itemsize])
+                packed = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+                keys = zip(part.column("key").to_pylist(), part.column("salt").to_pylist())
+                at = [bisect_right(cuts, (AFTER if k is None else k, s)) for k, s in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), part.column("key"), part.column("salt"), packed], ["part", "key", "salt", "ids"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, sizes = [], [], []
+        part = seq = before = 0
+        keys: list[pa.Array] = []
+        held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        size = 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal seq, before, size
+            ids, ends = np.concatenate(held), np.cumsum(np.concatenate(sizes), dtype="<i8")
+            own = pa.concat_arrays(keys)
+            m = WaveletMatrix.build(ids, bits)
+            row = {"part": part, "seq": seq, "before": before, "n_docs": len(own), "n_tokens": len(ids), "n_null": own.null_count, "doc_ids": pc.fill_null(own, 0).to_numpy().astype("<i8").tobytes(), "ends": ends.tobytes(), "zeros": m.zeros, "planes": [p.tobytes() for p in m.planes], "ranks": [r.tobytes() for r in m.ranks]}
+            seq, before, size = seq + 1, before + len(ids), 0
+            for x in (keys, held, sizes):
+                x.clear()
+            return pa.RecordBatch.from_pylist([row], schema=arrow)
+
         for batch in batches:
-            keys.append(batch.column("key").to_numpy())
-            for x in batch.column("ids").to_pylist():
-                sizes.append(len(x))
-                ids.append(np.frombuffer(x, kind))
-        if not sizes:
-            return
-        keys, ids, ends = np.concatenate(keys).astype("<i8"), np.concatenate(ids), np.cumsum(np.array(sizes, "<i8") // np.dtype(kind).itemsize)
-        m = WaveletMatrix.build(ids, bits)
-        row = {"first_doc": int(keys[0]), "n_docs": len(keys), "n_tokens": len(ids), "doc_ids": keys.tobytes(), "ends": ends.astype("<i8").tobytes(), "zeros": m.zeros, "planes": [p.tobytes() for p in m.planes], "ranks": [r.tobytes() for r in m.ranks]}
-        yield pa.RecordBatch.from_pylist([row], schema=arrow)
-
-    arrow = pa.schema([("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("ends", pa.binary()), ("zeros", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary()))])
-    ids = slim.mapInArrow(releasing(encode), "shard int, key long, ids binary")
-    dealt = ids.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("key").drop("shard")
-    dealt.mapInArrow(releasing(build), FILE).write.option("compression", "zstd").parquet(path)
-
-
-def read_documents(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of each document from the shards' files; start counts all ids before it, ids are little-endian 32-bit."""
+            parts = batch.column("part").to_numpy()
+            offsets = np.frombuffer(batch.column("ids").buffers()[1], np.int32)[batch.column("ids").offset :][: batch.num_rows + 1]
+            data, w = np.frombuffer(batch.column("ids").buffers()[2] or b"", np.uint8), kind.itemsize
+            lo = 0
+            while lo < batch.num_rows:
+                if parts[lo] != part or size >= shard_ids:
+                    if size:
+                        yield close()
+                    if parts[lo] != part:
+                        part, seq, before = int(parts[lo]), 0, 0
+                # As many rows as the shard takes: the one that fills it is the last.
+                hi = int(np.searchsorted(parts, part, side="right"))
+                hi = min(hi, int(np.searchsorted(offsets, offsets[lo] + (shard_ids - size) * w)))
+                hi = max(hi, lo + 1)
+                keys.append(batch.column("key").slice(lo, hi - lo))
+                sizes.append(np.diff(offsets[lo : hi + 1]) // w)
+                held.append(data[offsets[lo] : offsets[hi]].view(kind).copy())
+                size += len(held[-1])
+                lo = hi
+        if size:
+            yield close()
+
+    binary = pa.list_(pa.binary())
+    arrow = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_null", pa.int64()), ("doc_ids", pa.binary()), ("ends", pa.binary()), ("zeros", pa.list_(pa.int64())), ("planes", binary), ("ranks", binary)])
+    ids = slim.mapInArrow(releasing(encode), "part int, key long, salt long, ids binary")
+    dealt = ids.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.col("key").asc_nulls_last(), "salt").drop("salt")
+    dealt.mapInArrow(releasing(build), FILE).write.option("compression", "zstd").option("maxRecordsPerFile", 1).parquet(path)
+
+
+def _started(spark: SparkSession, path: str) -> DataFrame:
+    """The shards, with the ids before each of them as ``base``: at most MAX_RANGES rows are gathered and broadcast."""
     shards = spark.read.schema(FILE).parquet(path)
-    # A row of three numbers for each shard is all that the running total gathers.
-    totals = shards.groupBy("first_doc").agg(F.sum("n_tokens").alias("n"))
-    before = W.orderBy("first_doc").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select("first_doc", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    if totals.count() <= BROADCAST_SHARDS:
-        starts = F.broadcast(starts)
+    totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    return shards.join(F.broadcast(starts), "part").withColumn("base", F.col("first") + F.col("before")).drop("first")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of each document from the shards' files; start counts all ids before it, ids are little-endian 32-bit."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-                ids = WaveletMatrix(row["n_tokens"], row["zeros"], row["planes"], []).ids().astype("<u4")
-                keys, ends = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["ends"], "<i8")
-                for k in range(0, len(keys), 1000):
-                    e = ends[k : k + 1000]
-                    s = np.concatenate([ends[k - 1 : k] if k else np.zeros(1, np.int64), e[:-1]])
-                    part = [ids[x:y].tobytes() for x, y in zip(s.tolist(), e.tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), row["first_doc"])), pa.array(keys[k : k + 1000]), pa.array(s), pa.array(e - s), pa.array(part, pa.binary())], ["first_doc", "doc_id", "at", "n_tokens", "ids"])
-
-    found = shards.drop("ranks").mapInArrow(releasing(unpack), "first_doc long, doc_id long, at long, n_tokens long, ids binary")
-    return found.join(starts, "first_doc").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+                ids = WaveletMatrix(row["n_tokens"], row["zeros"], row["planes"], []).ids()
+                ends = np.concatenate([[0], np.frombuffer(row["ends"], "<i8")])
+                keys = pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.arange(row["n_docs"]) >= row["n_docs"] - row["n_null"])
+                step = max(1, row["n_docs"] * (1 << 20) // max(1, row["n_tokens"]))
+                for k in range(0, row["n_docs"], step):
+                    e = ends[k : k + step + 1]
+                    out = ids[e[0] : e[-1]].astype("<u4")
+                    offsets = pa.py_buffer((4 * (e - e[0])).astype(np.int64))
+                    packed = pa.Array.from_buffers(pa.large_binary(), len(e) - 1, [None, offsets, pa.py_buffer(out)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([keys.slice(k, step), pa.array(row["base"] + e[:-1]), pa.array(np.diff(e)), packed], ["doc_id", "start", "n_tokens", "ids"])
+
+    shards = _started(spark, path).select("base", "n_docs", "n_tokens", "n_null", "doc_ids", "ends", "zeros", "planes")
+    return shards.mapInArrow(releasing(unpack), "doc_id long, start long, n_tokens long, ids binary")
+
+
+def count_ids(spark: SparkSession, path: str, values: list[int]) -> DataFrame:
+    """(id, n): how often each of a stated list of ids stands in all shards, by rank alone."""
+    values = sorted(set(values))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = Shard.open({c: batch.column(c)[i].as_py() for c in batch.schema.names})
+                yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array([shard.count(v) for v in values], pa.int64())], ["id", "n"])
+
+    shards = spark.read.schema(FILE).parquet(path).select("n_tokens", "n_null", "doc_ids", "ends", "zeros", "planes", "ranks")
+    return shards.mapInArrow(releasing(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def find_id(spark: SparkSession, path: str, value: int) -> DataFrame:
+    """(doc_id, at, place): each occurrence of an id - its document, its place there, and its place among all ids - by select alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard = Shard.open({c: batch.column(c)[i].as_py() for c in batch.schema.names})
+                base, n = batch.column("base")[i].as_py(), shard.count(value)
+                for k in range(0, n, 10_000):
+                    at = [shard.matrix.select(value, j) for j in range(k, min(n, k + 10_000))]
+                    docs = [bisect_right(shard.ends, x) for x in at]
+                    yield pa.RecordBatch.from_arrays([pa.array([shard.doc_ids[d] for d in docs], pa.int64()), pa.array([x - shard.span(d)[0] for x, d in zip(at, docs)], pa.int64()), pa.array([base + x for x in at], pa.int64())], ["doc_id", "at", "place"])
+
+    shards = _started(spark, path).select("base", "n_tokens", "n_null", "doc_ids", "ends", "zeros", "planes", "ranks")
+    return shards.mapInArrow(releasing(run), "doc_id long, at long, place long")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -54,6 +54,48 @@ def test_long_random_runs():
         check("".join(r.choice(alphabet) for _ in range(20_000)))
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefghij", "aé漢", "thein", "'s!?", "01", "\n\t", "xyz\n", "the.,\n"])
+def test_joined_halves(alphabet):
+    before, r = bpe.LEAF_BYTES, random.Random(len(alphabet))
+    try:
+        for leaf in (5, 13, 40):
+            bpe.LEAF_BYTES = leaf
+            for n in (30, 200, 900):
+                check("".join(r.choice(alphabet) for _ in range(n)))
+                check((alphabet * n)[:n])
+    finally:
+        bpe.LEAF_BYTES = before
+
+
+def test_many_texts_at_once():
+    r = random.Random(8)
+    texts = ["", " ", " a", "a ", "a\tb c", "x\x01y z", "".join(map(chr, range(1, 9))) + " q", *("".join(r.choice(PARTS) for _ in range(r.randint(0, 30))) for _ in range(300))]
+    own = bpe.Encoder(bpe.vocabulary(), most=50)
+    for _ in range(2):
+        assert [x.tolist() for x in own.encode(texts)] == [reference(t) for t in texts]
+        ids, ends = own.flat(texts, 2)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*reference(t), 2] for t in texts]
+    every = "".join(bpe._MARKS) + " a b"
+    assert own.encode([every])[0].tolist() == reference(every)
+
+
+def test_long_texts_are_dealt_out(spark):
+    r = random.Random(4)
+    words = "".join(r.choice(["the ", "quick. ", "Fox,\n", "  ", "é "]) for _ in range(4000))
+    unsplit = "".join(r.choice("abcde") for _ in range(30_000))
+    texts = [words, unsplit, words + unsplit + "<|endoftext|>" + unsplit + "\n" * 9000, unsplit, "short", None, ""]
+    docs = spark.createDataFrame([(None if i == 3 else i % 3, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    block, bpe.BLOCK_BYTES = bpe.BLOCK_BYTES, 2000
+    try:
+        assert len(ENCODER.blocks(texts[2])) > 10
+        for t in texts[:3]:
+            assert ENCODER._assemble([(kind, tied, part, ENCODER.part_ids(kind, part)) for kind, tied, part in ENCODER.blocks(t)]).tolist() == reference(t)
+        got = bpe.encode_decode(docs, bpe.vocabulary(), keep_ids=True, long_bytes=4000).collect()
+    finally:
+        bpe.BLOCK_BYTES = block
+    assert sorted((str(x.doc_id), np.frombuffer(x.ids, "<u4").tolist()) for x in got) == sorted((str(None if i == 3 else i % 3), reference(t or "")) for i, t in enumerate(texts))
+
+
 def test_frame(spark):
     rows = [(1, "to be or not to be", "x"), (1, None, "y"), (None, "", "z"), (3, "w" * 5000, "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
