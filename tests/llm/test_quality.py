@@ -78,30 +78,3 @@ def test_against_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert {x[-1] for x in want} == {True, False}
     assert quality.judge_quality(docs.limit(0)).count() == 0
-
-
-def test_licenses(spark):
-    mit = "Released under the MIT License."
-    data = [(1, None), (2, ""), (3, mit), (4, f"x\n{mit.upper()}\n{mit}\nLicensed under CC BY 4.0"), (5, "released under the license " * 9), (6, "Licensed under the Apache License, Version 2.0!"), (3, mit), (None, "no"), (7, "Licensed under CC BY-NC 4.0.")]
-    docs = spark.createDataFrame([(k, t, "l") for k, t in data], "doc_id long, text string, licenses string")
-    got = {(x.doc_id, x.n_license_lines, x.licenses) for x in licenses.scan_licenses(docs).collect()}
-    assert got == {(1, 0, ""), (2, 0, ""), (3, 1, "MIT"), (4, 3, "CC-BY-4.0,MIT"), (5, 0, ""), (6, 1, "Apache-2.0"), (None, 0, ""), (7, 1, "CC-BY-NC-4.0")}
-    assert licenses.scan_licenses(docs.limit(0)).count() == 0
-    assert licenses.scan_licenses(docs, templates=()).count() == len(data)
-
-
-def test_license_dice_against_brute_force(spark):
-    r = random.Random(3)
-    lines = []
-    for _ in range(400):
-        w = licenses.normalise(r.choice(licenses.TEMPLATES)[1]).split()
-        for _ in range(r.randint(0, 4)):
-            w[r.randrange(len(w))] = "zz"
-        lines.append(" ".join(w))
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    got = {x.doc_id: (x.licenses, x.best_dice) for x in licenses.scan_licenses(docs).collect()}
-    for k, line in enumerate(lines):
-        own = set(licenses.bigrams(line))
-        found = [(-2 * len(own & set(g)) / (len(own) + len(g)), n) for n, t in licenses.TEMPLATES if (g := licenses.bigrams(licenses.normalise(t)))]
-        d, name = min(found)
-        assert got[k] == ((name, round(-d, 6)) if -d >= licenses.MIN_DICE else ("", 0.0))
