@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.operators.ranks import percentiles
 from quillspan.session import scratch
 
 # Floors, ceilings, percentiles, shares and weights of the scoring rules.
@@ -18,12 +19,6 @@ LABELS = [(75, "High Review Priority"), (50, "Medium Review Priority"), (25, "Lo
 LEVELS = {"state_work_category": ["state", "work_category"], "state": ["state"], "work_category": ["work_category"]}
 
 
-def _percentiles(value: Column, points: tuple[float, ...]) -> Column:
-    """Inclusive percentiles of the values that aren't null; null from under MIN_SAMPLE of them."""
-    exact = F.transform(F.percentile(value, F.array(*[F.lit(p) for p in points])), lambda x: F.round(x, 6))
-    return F.when(F.count(value) >= MIN_SAMPLE, exact)
-
-
 def prepare(features: DataFrame) -> DataFrame:
     """Doubles for all measures; effective utilisation and counts; ratios to the first peer level that suffices."""
     measures = "days_since_sanction days_since_last_payment sanction_to_first_payment_days sanction_to_last_payment_days payment_span_days success_utilization_ratio deduplicated_utilization_ratio payment_count_all_rows deduplicated_payment_count vendor_count duplicate_record_count duplicate_ratio duplicate_amount_ratio in_progress_amount in_progress_ratio sanction_amount total_disbursed_all_rows".split()
@@ -50,32 +45,54 @@ def _first(pick) -> Column:
     return out
 
 
-def global_thresholds(works: DataFrame) -> DataFrame:
-    """One row of threshold arrays, from one pass over ``prepare``'s rows."""
+def _measures() -> dict[str, tuple[Column, tuple[float, ...]]]:
+    """What the global thresholds are percentiles of."""
     c, dup = F.col, F.coalesce(F.col("duplicate_record_count") >= 1, F.lit(False))
-    quiet = c("paid") & c("open")
-    util = _percentiles(c("eff_util"), LOWER)
-    return works.agg(
-        _percentiles(c("days_since_sanction"), MIDDLE).alias("t_age"),
-        F.when(util.isNotNull(), F.array(*[F.least(F.get(util, F.lit(i)), F.lit(cap)) for i, cap in enumerate(CEILINGS)])).alias("t_util"),
-        _percentiles(F.when(quiet, c("days_since_last_payment")), UPPER).alias("t_inactivity"),
-        _percentiles(F.when(c("sanction_to_first_payment_days") >= 0, c("sanction_to_first_payment_days")), UPPER).alias("t_first"),
-        _percentiles(F.when(c("sanction_to_last_payment_days") >= 0, c("sanction_to_last_payment_days")), UPPER).alias("t_last"),
-        _percentiles(F.when((c("payment_count_all_rows") >= 2) & (c("payment_span_days") >= 0), c("payment_span_days")), UPPER).alias("t_span"),
-        _percentiles(F.when(dup, c("duplicate_ratio")), MIDDLE).alias("t_dup_ratio"),
-        _percentiles(F.when(dup, c("duplicate_amount_ratio")), MIDDLE).alias("t_dup_amount"),
-        _percentiles(F.when(dup, c("duplicate_record_count")), MIDDLE).alias("t_dup_count"),
-        F.median(F.when(c("paid"), c("days_since_last_payment"))).alias("t_stale"),
-        _percentiles(c("sanction_to_peer_median"), UPPER).alias("t_peer_sanction"),
-        _percentiles(c("disbursed_to_peer_median"), UPPER).alias("t_peer_disbursed"),
-    )
-
-
-def peer_thresholds(works: DataFrame, metric: str, level: str) -> DataFrame:
+    some = lambda ok, name: F.when(ok, c(name))
+    return {
+        "t_age": (c("days_since_sanction"), MIDDLE),
+        "t_util": (c("eff_util"), LOWER),
+        "t_inactivity": (some(c("paid") & c("open"), "days_since_last_payment"), UPPER),
+        "t_first": (some(c("sanction_to_first_payment_days") >= 0, "sanction_to_first_payment_days"), UPPER),
+        "t_last": (some(c("sanction_to_last_payment_days") >= 0, "sanction_to_last_payment_days"), UPPER),
+        "t_span": (some((c("payment_count_all_rows") >= 2) & (c("payment_span_days") >= 0), "payment_span_days"), UPPER),
+        "t_dup_ratio": (some(dup, "duplicate_ratio"), MIDDLE),
+        "t_dup_amount": (some(dup, "duplicate_amount_ratio"), MIDDLE),
+        "t_dup_count": (some(dup, "duplicate_record_count"), MIDDLE),
+        "t_stale": (some(c("paid"), "days_since_last_payment"), (0.5,)),
+        "t_peer_sanction": (c("sanction_to_peer_median"), UPPER),
+        "t_peer_disbursed": (c("disbursed_to_peer_median"), UPPER),
+    }
+
+
+#: Measures that are held against thresholds of the work's own peers.
+PEER_METRICS = ("dedup_count", "vendor_count")
+
+
+def thresholds(works: DataFrame, levels: dict[str, list[str]] | None = None) -> DataFrame:
+    """(level, key columns, measure, n, p) of ``prepare``'s rows: the global measures at level 'all', PEER_METRICS at each peer level that suffices."""
+    levels = LEVELS if levels is None else levels
+    own = {k: {m: (F.when(F.col(f"peer_group_sufficient_by_{k}"), F.col(m)), UPPER) for m in PEER_METRICS} for k in levels}
+    return percentiles(works, {"all": [], **levels}, {"all": _measures(), **own})
+
+
+def _rounded() -> Column:
+    """The percentiles, to six places; null from under MIN_SAMPLE values."""
+    return F.when(F.col("n") >= MIN_SAMPLE, F.transform("p", lambda x: F.round(x, 6)))
+
+
+def global_thresholds(works: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One row of threshold arrays; ``found``: ``thresholds`` of the works, if there already."""
+    found = thresholds(works, {}) if found is None else found
+    one = {m: F.max(F.when(F.col("measure") == m, F.col("p") if m == "t_stale" else _rounded())) for m in _measures()}
+    capped = F.when(F.col("t_util").isNotNull(), F.array(*[F.least(F.get("t_util", F.lit(i)), F.lit(cap)) for i, cap in enumerate(CEILINGS)]))
+    return found.where("level = 'all'").agg(*[v.alias(m) for m, v in one.items()]).withColumns({"t_util": capped, "t_stale": F.get("t_stale", F.lit(0))})
+
+
+def peer_thresholds(works: DataFrame, metric: str, level: str, found: DataFrame | None = None) -> DataFrame:
     """Upper percentiles of a metric in each sufficient group of a level; groups with too few values have none."""
-    columns = LEVELS[level]
-    groups = works.where(F.col(f"peer_group_sufficient_by_{level}")).groupBy(*columns)
-    return groups.agg(_percentiles(F.col(metric), UPPER).alias("t")).where("t is not null")
+    found = thresholds(works, {level: LEVELS[level]}) if found is None else found
+    return found.where((F.col("level") == level) & (F.col("measure") == metric)).select(*LEVELS[level], _rounded().alias("t")).where("t is not null")
 
 
 def _above(value: Column, thresholds: Column) -> Column:
@@ -91,17 +108,17 @@ def score(works: DataFrame) -> DataFrame:
     """Severities, score, label, signal count, top three signals and an explanation for each of ``prepare``'s rows.
 
     The one row of global thresholds is fetched by an action and put in as literals: 35 numbers, whatever the input.
-    Group thresholds are joined by level, and the first level that has any counts. The rows are written once, as
-    seven aggregates and the final pass read them.
+    Group thresholds are joined by level, and the first level that has any counts. The rows are written once, and all
+    thresholds come from one pass over them.
     """
     works = scratch(works, "prepared")
-    row = global_thresholds(works).first()
+    found = scratch(thresholds(works), "thresholds")
+    row = global_thresholds(works, found).first()
     t = {n: F.lit(None).cast("array<double>") if row[n] is None else F.array(*[F.lit(x) for x in row[n]]) for n in row.asDict() if n != "t_stale"}
     stale = F.lit(row["t_stale"]).cast("double")
-    for metric in ("dedup_count", "vendor_count"):
+    for metric in PEER_METRICS:
         for level, columns in LEVELS.items():
-            found = peer_thresholds(works, metric, level).withColumnRenamed("t", f"_{metric}_{level}")
-            works = works.join(found, columns, "left")
+            works = works.join(peer_thresholds(works, metric, level, found).withColumnRenamed("t", f"_{metric}_{level}"), columns, "left")
         usable = [F.when(F.col(f"peer_group_sufficient_by_{k}"), F.col(f"_{metric}_{k}")) for k in LEVELS]
         works = works.withColumn(f"t_{metric}", F.coalesce(*usable)).drop(*[f"_{metric}_{k}" for k in LEVELS])
     c, zero = F.col, F.lit(0)

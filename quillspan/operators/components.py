@@ -28,10 +28,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         both = star.unionByName(star.select(F.col("m").alias("v"), F.col("v").alias("m")))
         least = scratch(both.groupBy("v").agg(F.min("m").alias("low")).select("v", F.least("v", "low").alias("low")), "least")
         large = scratch(both.join(least, "v").where("m > v and m <> low").select(F.col("m").alias("v"), F.col("low").alias("m")).distinct(), "large")
-        low = large.groupBy("v").agg(F.min("m").alias("low"))
+        low = scratch(large.groupBy("v").agg(F.min("m").alias("low")), "low")
         small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("low").alias("m")), F.struct("v", F.col("low").alias("m")))).alias("e"))
         after = scratch(small.select("e.v", "e.m").where("v <> m").distinct(), "edges")
-        for done in (least, large):
+        for done in (least, large, low):
             drop_scratch(done)
         drop_scratch(star)
         star = after

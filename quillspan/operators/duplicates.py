@@ -9,11 +9,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspan.functions import similarity as S
 from quillspan.operators.components import connected_components
+from quillspan.operators.ranks import neighbours, numbered
 from quillspan.session import scratch
 
 # Group sizes, lengths and points of the rules.
@@ -40,10 +40,9 @@ def _pairs(rows: DataFrame, key: list[str], most: int, least: int = 2, carry: li
 
 
 def _chains(rows: DataFrame, key: list[str], over: int) -> DataFrame:
-    """Neighbours by id inside groups of more than ``over`` rows: as many pairs as rows."""
+    """Neighbours by id inside groups of more than ``over`` rows: as many pairs as rows. A group of any size is dealt over the ranges of ids."""
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > over).drop("n")
-    after = F.lead("id").over(W.partitionBy(*key).orderBy("id"))
-    return rows.join(sizes, key).select(F.col("id").alias("id_a"), after.alias("id_b")).where("id_b is not null")
+    return neighbours(rows.join(sizes, key), key, "id").drop(*key)
 
 
 def candidate_pairs(works: DataFrame) -> DataFrame:
@@ -142,19 +141,21 @@ def retained_pairs(scored: DataFrame) -> DataFrame:
 def clusters(pairs: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     """(cluster_id, work_count, is_batch_scheme, work_ids): connected components, the largest first, then by smallest member.
 
-    A component of more than BATCH_CLUSTER is a batch. Numbering sorts one row for each component.
+    A component of more than BATCH_CLUSTER is a batch. Clusters are put in order by ranges of it; a row holds its members, as
+    that is what it is for.
     """
     members = scratch(connected_components(pairs, a, b), "members")
     groups = members.groupBy("component").agg(F.count(F.lit(1)).alias("work_count"), F.array_sort(F.collect_list("node")).alias("ids"))
-    number = F.row_number().over(W.orderBy(F.desc("work_count"), "component"))
-    return groups.select(F.format_string("CLUST-%05d", number).alias("cluster_id"), "work_count", (F.col("work_count") > BATCH_CLUSTER).alias("is_batch_scheme"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ";").alias("work_ids"))
+    groups = numbered(groups, [F.desc("work_count"), "component"])
+    return groups.select(F.format_string("CLUST-%05d", F.col("number")).alias("cluster_id"), "work_count", (F.col("work_count") > BATCH_CLUSTER).alias("is_batch_scheme"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ";").alias("work_ids"))
 
 
 def duplicate_summary(pairs: DataFrame) -> DataFrame:
     """One row: pairs by priority, links of batches, and the works concerned."""
-    works = pairs.select(F.explode(F.array("id_a", "id_b")).alias("w")).agg(F.countDistinct("w").alias("affected_works"))
-    counts = pairs.agg(F.count_if(~F.col("is_batch")).alias("ordinary"), F.count_if(F.col("is_high") & ~F.col("is_batch")).alias("high"), F.count_if(~F.col("is_high") & ~F.col("is_batch")).alias("medium"), F.count_if("is_batch").alias("batch"))
-    return counts.join(works, F.lit(True))
+    ends = pairs.select("is_batch", "is_high", F.posexplode(F.array("id_a", "id_b")).alias("end", "w"))
+    once = ends.groupBy("w").agg(*[F.count_if((F.col("end") == 0) & ok).alias(name) for name, ok in (("high", F.col("is_high") & ~F.col("is_batch")), ("medium", ~F.col("is_high") & ~F.col("is_batch")), ("batch", F.col("is_batch")))])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return once.agg(total(F.col("high") + F.col("medium")).alias("ordinary"), *[total(c).alias(c) for c in ("high", "medium", "batch")], F.count(F.lit(1)).alias("affected_works"))
 
 
 def description_frequencies(works: DataFrame) -> DataFrame:

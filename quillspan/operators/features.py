@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import clean_description, token_count
+from quillspan.operators.ranks import percentiles
+from quillspan.session import scratch
 
 SNAPSHOT = "2026-09-25"
 MIN_PEERS = 20
@@ -93,21 +95,35 @@ def work_features(master: DataFrame, payments: DataFrame, snapshot: str = SNAPSH
     return df.select(*[f.make.alias(f.name) for f in registry(snapshot) if retrospective or f.timing != "retrospective"])
 
 
+def peer_statistics(works: DataFrame, peers: dict[str, list[str]]) -> DataFrame:
+    """(level, key columns, measure, n, p): medians of the peer measures and, as 'rows', the size of each group without a null key."""
+    measures = {m: (F.col(c), (0.5,)) for m, c in PEER_MEASURES.items()} | {"rows": (F.lit(0.0), (0.5,))}
+    return percentiles(works, peers, dict.fromkeys(peers, measures))
+
+
+def _groups(stats: DataFrame, columns: list[str], name: str, least: int) -> DataFrame:
+    """One level of ``peer_statistics`` as a row for each group."""
+    of = lambda m, c: F.max(F.when(F.col("measure") == m, c))
+    enough = of("rows", F.col("n")) >= least
+    medians = [F.when(enough, of(m, F.round(F.get("p", F.lit(0)), 6))).alias(f"peer_median_{m}_by_{name}") for m in PEER_MEASURES]
+    return stats.where(F.col("level") == name).groupBy(*columns).agg(of("rows", F.col("n")).alias(f"peer_count_by_{name}"), enough.alias(f"peer_group_sufficient_by_{name}"), *medians)
+
+
 def peer_groups(works: DataFrame, columns: list[str], name: str, least: int = MIN_PEERS) -> DataFrame:
     """One row for each group without a null key: size, whether it suffices, and medians if so."""
-    groups = works.where(" and ".join(f"{c} is not null" for c in columns)).groupBy(*columns)
-    medians = {f"peer_median_{m}_by_{name}": F.round(F.median(c), 6) for m, c in PEER_MEASURES.items()}
-    stats = groups.agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in medians.items()])
-    enough = F.col("n") >= least
-    return stats.select(*columns, F.col("n").alias(f"peer_count_by_{name}"), enough.alias(f"peer_group_sufficient_by_{name}"), *[F.when(enough, F.col(k)).alias(k) for k in medians])
+    return _groups(peer_statistics(works, {name: columns}), columns, name, least)
 
 
 def peer_features(works: DataFrame, peers: dict[str, list[str]] | None = None, least: int = MIN_PEERS) -> DataFrame:
-    """Add the peer columns of each grouping. Medians are of groups, joined back; a null key is in no sufficient group.
+    """Add the peer columns of each grouping; a null key is in no sufficient group.
 
-    Group tables are aggregates; AQE broadcasts them if they are small and splits hot groups if not.
+    The rows are written once; all groupings are computed from them together, and their tables, a row for each group, are
+    joined back. AQE broadcasts those if they are small and splits hot groups if not.
     """
-    for name, columns in (peers or PEERS).items():
-        works = works.join(peer_groups(works, columns, name, least), columns, "left")
+    peers = peers or PEERS
+    works = scratch(works, "features")
+    stats = scratch(peer_statistics(works, peers), "peers")
+    for name, columns in peers.items():
+        works = works.join(_groups(stats, columns, name, least), columns, "left")
         works = works.withColumn(f"peer_group_sufficient_by_{name}", F.coalesce(F.col(f"peer_group_sufficient_by_{name}"), F.lit(False)))
     return works

@@ -22,25 +22,28 @@ def _total(value: Column, when: Column | None = None) -> Column:
 
 
 def payments_by_work(rows: DataFrame, key: str = "work_id", amount: str = "amount", day: str = "day", vendor: str = "vendor", status: str = "status", repeat: str = "duplicate_record", success: str = "Payment Success", in_progress: str = "Payment In-Progress") -> DataFrame:
-    """One row for each work: 17 measures over its payments, repeats included and excluded."""
+    """One row for each work: 17 measures over its payments, repeats included and excluded.
+
+    Payments are first added up by work and vendor, then by work, where each vendor is a row: distinct vendors need no copy of
+    the rows, and a work with many payments is spread over its vendors.
+    """
     a, r = F.col(amount).cast(MONEY), F.coalesce(F.col(repeat), F.lit(False))
-    count = lambda c: F.count_if(c)
-    out = rows.groupBy(key).agg(
-        _total(a).alias("total_disbursed_all_rows"),
-        _total(a, F.col(status) == success).alias("success_amount"),
-        _total(a, F.col(status) == in_progress).alias("in_progress_amount"),
-        _total(a, r).alias("exact_duplicate_amount"),
-        _total(a, ~r).alias("deduplicated_disbursed_amount"),
-        F.count(F.lit(1)).alias("payment_count_all_rows"),
-        count(~r).alias("deduplicated_payment_count"),
-        count(r).alias("duplicate_record_count"),
-        F.min(day).alias("first_expenditure_date"),
-        F.max(day).alias("last_expenditure_date"),
-        F.countDistinct(vendor).alias("vendor_count"),
-        count(F.col(amount).isNull()).alias("amount_missing_count"),
-        count(F.col(day).isNull()).alias("date_missing_count"),
-        count(a < 0).alias("negative_amount_count"),
-    )
+    some = {
+        "total_disbursed_all_rows": _total(a),
+        "success_amount": _total(a, F.col(status) == success),
+        "in_progress_amount": _total(a, F.col(status) == in_progress),
+        "exact_duplicate_amount": _total(a, r),
+        "deduplicated_disbursed_amount": _total(a, ~r),
+        "payment_count_all_rows": F.count(F.lit(1)),
+        "deduplicated_payment_count": F.count_if(~r),
+        "duplicate_record_count": F.count_if(r),
+        "amount_missing_count": F.count_if(F.col(amount).isNull()),
+        "date_missing_count": F.count_if(F.col(day).isNull()),
+        "negative_amount_count": F.count_if(a < 0),
+    }
+    parts = rows.groupBy(F.col(key), F.col(vendor).alias("_vendor")).agg(*[v.alias(k) for k, v in some.items()], F.min(day).alias("first_expenditure_date"), F.max(day).alias("last_expenditure_date"))
+    add = lambda k: F.sum(k).cast("decimal(28,2)" if k.endswith(("amount", "all_rows")) and not k.startswith("payment") else "long").alias(k)
+    out = parts.groupBy(key).agg(*[add(k) for k in some], F.min("first_expenditure_date").alias("first_expenditure_date"), F.max("last_expenditure_date").alias("last_expenditure_date"), F.count("_vendor").alias("vendor_count"))
     share = F.bround(F.col("duplicate_record_count").cast(MONEY) / F.col("payment_count_all_rows").cast(MONEY), 4)
     return out.withColumn("total_disbursed", F.col("total_disbursed_all_rows")).withColumn("payment_count", F.col("payment_count_all_rows")).withColumn("duplicate_ratio", share.cast("decimal(8,4)"))
 

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import fold_text
+from quillspan.operators.ranks import percentiles
 
 
 def numeric_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row for each column: counts, moments (population deviation), percentiles, Tukey's fences and what lies beyond them.
 
-    Two passes: the statistics, and the counts beyond fences that the first gives.
+    Percentiles are exact, by ``ranks.percentiles``; then the statistics, and the counts beyond the fences.
     """
     points = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
     stats = []
@@ -21,20 +22,21 @@ def numeric_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
             F.struct(
                 F.count(F.lit(1)).alias("total"), F.count(v).alias("n"), F.count_if(v == 0).alias("zero"), F.count_if(v < 0).alias("negative"),
                 F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"),
-                F.percentile(v, F.array(*[F.lit(p) for p in points])).alias("p"),
             ).alias(c)
         )
     one = rows.agg(*stats).first()
+    found = percentiles(rows, {"all": []}, {"all": {c: (F.col(c), points) for c in columns}})
+    quantiles = {r.measure: r.p for r in found.collect()}
     fences = {}
     for c in columns:
-        p = one[c]["p"]
+        p = quantiles.get(c)
         if p is not None:
             spread = p[2] - p[0]
             fences[c] = (p[0] - 1.5 * spread, p[2] + 1.5 * spread)
     beyond = rows.agg(*[F.struct(F.count_if(F.col(c).cast("double") < lo).alias("low"), F.count_if(F.col(c).cast("double") > hi).alias("high")).alias(c) for c, (lo, hi) in fences.items()]).first() if fences else {}
     out = []
     for c in columns:
-        s, p = one[c], one[c]["p"] or [None] * 6
+        s, p = one[c], quantiles.get(c) or [None] * 6
         lo, hi = fences.get(c, (None, None))
         low, high = (beyond[c]["low"], beyond[c]["high"]) if c in fences else (0, 0)
         r = lambda x: None if x is None else round(x, 4)
