@@ -172,6 +172,16 @@ def signal_activation(scored: DataFrame) -> DataFrame:
     return scored.select(F.explode(each).alias("x")).groupBy("x.signal").agg(*[F.count_if(F.col("x.s") == i).alias(n) for i, n in ((1, "mild"), (2, "moderate"), (3, "strong"))])
 
 
+def signals_per_work(scored: DataFrame) -> DataFrame:
+    """(signals, works): works by how many signals are active."""
+    return scored.groupBy(F.col("signal_count").alias("signals")).agg(F.count(F.lit(1)).alias("works"))
+
+
+def candidates_by(scored: DataFrame, column: str) -> DataFrame:
+    """(value, candidates): review candidates by state or category, the most first."""
+    return candidates(scored).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("candidates")).orderBy(F.desc("candidates"), "value")
+
+
 def top_candidates(scored: DataFrame, n: int = 20, key: str = "work_id") -> DataFrame:
     """The n works of the highest score, then of most signals, then of the smallest key."""
     return scored.orderBy(F.desc("review_priority_score"), F.desc("signal_count"), key).limit(n)

@@ -14,6 +14,12 @@ COHORTS = {"policy": 15, "reconciliation": 8, "execution": 240}
 SANCTION_DAYS, LEAST_AMOUNT, DURATION_DAYS, MONITOR_DAYS, RISK_DAYS, UTILISATION = 45, 250_000, 365, 90, 180, 0.80
 
 
+def rule_inputs(works: DataFrame, by_work: DataFrame, late: DataFrame, key: str = "work_id") -> DataFrame:
+    """Works with what the rules need: payments by work (success_amount, last_expenditure_date) and late payments (late_payments), where there are any."""
+    paid = by_work.select(key, F.col("success_amount").alias("disbursed"), F.col("last_expenditure_date").alias("last_payment_date"))
+    return works.withColumn("is_completed", F.col("in_completed")).join(paid, key, "left").join(late.select(key, "late_payments"), key, "left")
+
+
 def predicates(as_of: str = AS_OF) -> list[Column]:
     """The eight rules in bit order, never null.
 

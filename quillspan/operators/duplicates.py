@@ -132,6 +132,20 @@ def score_pairs(pairs: DataFrame, works: DataFrame) -> DataFrame:
     return df.withColumn("reasons", reasons).select(*keep, F.col("local_a").alias("batch_frequency"), "reasons")
 
 
+#: Fixed value: what every explanation ends with.
+DISCLAIMER = "This indicates potential duplicate entry or overlapping scope that may warrant verification and does not establish wrongdoing."
+
+
+def explained(scored: DataFrame) -> DataFrame:
+    """``scored`` pairs with explanation_text: the reasons in a sentence, and the disclaimer."""
+    return scored.withColumn("explanation_text", F.concat(F.lit("Review recommended because "), F.lower(F.array_join("reasons", "; ")), F.lit(f". {DISCLAIMER}")))
+
+
+def high_clusters(pairs: DataFrame) -> DataFrame:
+    """``clusters`` of what high-confidence pairs, not of a batch, connect."""
+    return clusters(pairs.where("is_high and not is_batch"))
+
+
 def retained_pairs(scored: DataFrame) -> DataFrame:
     """Pairs worth review: links of a batch, high confidence, or a score of KEEP_SCORE; the last are written as medium."""
     kept = scored.where(F.col("is_batch") | F.col("is_high") | (F.col("score") >= KEEP_SCORE))

@@ -34,6 +34,13 @@ def work_status(status: Column) -> Column:
     return F.when(low.contains("incomplete"), "sanctioned").when(full & part, "partial").when(full, "completed").when(low.isNotNull(), "sanctioned")
 
 
+def status_crosstab(works: DataFrame, paid: DataFrame, key: str = "work_id") -> DataFrame:
+    """(status, works, also_completed, also_paid): ``works`` has work_status, in_sanctioned and in_completed; ``paid`` the keys with payments."""
+    label = F.when(~F.coalesce(F.col("in_sanctioned"), F.lit(False)), "(no sanctioned record)").otherwise(F.coalesce(F.nullif("work_status", F.lit("")), F.lit("(status missing)")))
+    rows = works.join(paid.select(key, F.lit(True).alias("_paid")), key, "left")
+    return rows.groupBy(label.alias("status")).agg(F.count(F.lit(1)).alias("works"), F.count_if("in_completed").alias("also_completed"), F.count_if("_paid").alias("also_paid"))
+
+
 @dataclass(frozen=True)
 class Feature:
     """A registered feature: the expression, its group, and when it may be used ('monitoring', 'retrospective', 'context')."""

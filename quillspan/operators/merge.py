@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quillspan.functions.text import financial_year, fold_person_name, values_equal
 
 DESCRIPTIVE = ["work_category", "work", "state", "ida", "mp_name", "constituency", "work_description"]
-#: Which directed pairs of sources are compared: (from, to, name of the issue, whether ids are listed).
+#: Which directed pairs of sources are compared: (from, to, name of the issue, whether ids are listed). Source 'd' is
+#: the recommended works that have a sanction date.
 CONTAINMENT = [
     ("s", "r", "sanctioned_not_in_recommended", True),
     ("c", "s", "completed_not_in_sanctioned", True),
@@ -21,6 +22,7 @@ CONTAINMENT = [
     ("r", "s", "recommended_not_in_sanctioned", False),
     ("s", "c", "sanctioned_not_completed", False),
     ("s", "e", "sanctioned_without_expenditure", False),
+    ("d", "s", "recommended_with_sanction_date_not_in_sanctioned", True),
 ]
 
 
@@ -32,11 +34,12 @@ def presence(sources: dict[str, DataFrame], key: str = "work_id") -> DataFrame:
 
 def presence_patterns(flags: DataFrame) -> DataFrame:
     """How many keys each combination of sources has."""
-    return flags.groupBy(*[c for c in flags.columns if c.startswith("has_")]).agg(F.count(F.lit(1)).alias("works"))
+    return flags.groupBy(*[c for c in flags.columns if c.startswith("has_") and c != "has_d"]).agg(F.count(F.lit(1)).alias("works"))
 
 
 def containment_checks(flags: DataFrame, pairs=tuple(CONTAINMENT)) -> DataFrame:
-    """(issue, from_count, matched, unmatched) for directed pairs; 'm' is any source but 'e'."""
+    """(issue, from_count, matched, unmatched) for directed pairs; 'm' is any source but 'e'. Pairs of sources that aren't there are left out."""
+    pairs = [p for p in pairs if all(f"has_{x}" in flags.columns or x == "m" for x in p[:2])]
     members = [c for c in flags.columns if c.startswith("has_") and c != "has_e"]
     flags = flags.withColumn("has_m", reduce(lambda a, b: a | b, [F.col(c) for c in members]))
     one = flags.agg(*[F.struct(F.count_if(F.col(f"has_{a}")).alias("n"), F.count_if(F.col(f"has_{a}") & F.col(f"has_{b}")).alias("k")).alias(name) for a, b, name, _ in pairs])
@@ -46,6 +49,7 @@ def containment_checks(flags: DataFrame, pairs=tuple(CONTAINMENT)) -> DataFrame:
 
 def unmatched_ids(flags: DataFrame, key: str = "work_id", pairs=tuple(CONTAINMENT)) -> DataFrame:
     """(issue, key) for every key that a listed pair lacks."""
+    pairs = [p for p in pairs if all(f"has_{x}" in flags.columns or x == "m" for x in p[:2])]
     members = [c for c in flags.columns if c.startswith("has_") and c != "has_e"]
     flags = flags.withColumn("has_m", reduce(lambda a, b: a | b, [F.col(c) for c in members]))
     issues = F.array_compact(F.array(*[F.when(F.col(f"has_{a}") & ~F.col(f"has_{b}"), F.lit(name)) for a, b, name, listed in pairs if listed]))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.session import scratch
+
 
 class BadRequest(ValueError):
     """A sort or page that can't be."""
@@ -16,6 +18,15 @@ class NotFound(KeyError):
     """No row has the key."""
 
 
+class Unavailable(RuntimeError):
+    """A table that a request needs isn't there."""
+
+
+def rows_of(page: DataFrame) -> list[dict]:
+    """The rows of a page or of a small aggregate."""
+    return [r.asDict(recursive=True) for r in page.collect()]
+
+
 def where_in(df: DataFrame, filters: dict[str, list[str]]) -> DataFrame:
     """Rows that have one of the values in each column, in any case; empty lists don't filter."""
     for column, values in filters.items():
@@ -71,6 +82,64 @@ def lookup(df: DataFrame, key: str, value) -> dict:
     return row[0].asDict(recursive=True)
 
 
+#: Groups of the detail view, with the columns of each.
+DETAIL = {
+    "identity": "state constituency mp_name ida work_category work_status id_mp_code id_financial_year".split(),
+    "flags": "in_recommended in_sanctioned in_completed is_completed is_partially_completed is_sanctioned_only".split(),
+    "amounts": "recommended_amount sanction_amount total_disbursed_all_rows success_amount in_progress_amount exact_duplicate_amount deduplicated_disbursed_amount remaining_sanction_amount completed_amount_disbursed".split(),
+    "utilization": "success_utilization_ratio gross_utilization_ratio deduplicated_utilization_ratio in_progress_ratio".split(),
+    "payments": "payment_count_all_rows deduplicated_payment_count vendor_count duplicate_record_count duplicate_ratio duplicate_amount_ratio single_payment_work payment_span_days average_payment_interval_days".split(),
+    "timeline": "completion_date recommendation_to_sanction_days sanction_to_first_payment_days sanction_to_last_payment_days sanction_to_completion_days days_since_sanction days_since_last_payment".split(),
+}
+PEER_LEVELS = ("work_category", "state", "state_work_category")
+
+
+def detail_rows(features: DataFrame, master: DataFrame | None = None, payments: DataFrame | None = None, scored: DataFrame | None = None, key: str = "work_id") -> DataFrame:
+    """A row for each work with its details in groups, from up to four tables; what a table lacks is null.
+
+    review_status: 'scored', 'not_scored', or 'unavailable' without a table of scores. A filter on the key reaches each scan.
+    """
+    have = set(features.columns)
+    pick = lambda columns: [F.col(f"f.{c}").alias(c) if c in have else F.lit(None).alias(c) for c in columns]
+    df = features.alias("f")
+    said = [F.lit(None).cast("string").alias("work"), *[F.lit(None).cast("date").alias(c) for c in ("recommended_date", "sanction_date")]]
+    if master is not None:
+        some = {c: F.col(c).cast(t) if c in master.columns else F.lit(None).cast(t) for c, t in (("work", "string"), ("recommended_date", "date"), ("sanction_date", "date"))}
+        own = master.select(F.col(key).alias("_m"), *[v.alias(f"m_{c}") for c, v in some.items()])
+        df = df.join(own, F.col(f"f.{key}") == F.col("_m"), "left")
+        said = [F.col(f"m_{c}").alias(c) for c in some]
+    paid = [F.lit(None).cast("date").alias(c) for c in ("first_payment_date", "last_payment_date")]
+    if payments is not None:
+        own = payments.select(F.col(key).alias("_p"), F.col("first_expenditure_date").alias("p_first"), F.col("last_expenditure_date").alias("p_last"))
+        df = df.join(own, F.col(f"f.{key}") == F.col("_p"), "left")
+        paid = [F.col("p_first").alias("first_payment_date"), F.col("p_last").alias("last_payment_date")]
+    status, review = F.lit("unavailable"), F.lit(None).cast("struct<score:double,label:string,signals:int,explanation:string>")
+    if scored is not None:
+        own = scored.select(F.col(key).alias("_s"), F.struct(F.col("review_priority_score").cast("double").alias("score"), F.col("review_priority_label").alias("label"), F.col("signal_count").alias("signals"), F.col("explanation_text").alias("explanation")).alias("s_review"))
+        df = df.join(own, F.col(f"f.{key}") == F.col("_s"), "left")
+        status, review = F.when(F.col("_s").isNotNull(), "scored").otherwise("not_scored"), F.col("s_review")
+    groups = {g: F.struct(*pick(columns)) for g, columns in DETAIL.items()}
+    groups["identity"] = F.struct(said[0], *pick(["cleaned_work_description"]), *pick(DETAIL["identity"]))
+    groups["timeline"] = F.struct(*said[1:], *paid, *pick(DETAIL["timeline"]))
+    if any(c.startswith("peer_count_by_") for c in have):
+        names = {"peer_count": "peer_count_by_", "sufficient": "peer_group_sufficient_by_", "median_sanction_amount": "peer_median_sanction_amount_by_", "median_disbursed_amount": "peer_median_disbursed_amount_by_", "median_payment_count": "peer_median_payment_count_by_"}
+        groups["peers"] = F.struct(*[F.struct(*[F.col(f"f.{p}{level}").alias(n) for n, p in names.items()]).alias(level) for level in PEER_LEVELS])
+    return df.select(F.col(f"f.{key}").alias(key), *[v.alias(g) for g, v in groups.items()], status.alias("review_status"), review.alias("review"))
+
+
+def work_detail(value, features: DataFrame, master: DataFrame | None = None, payments: DataFrame | None = None, scored: DataFrame | None = None, key: str = "work_id") -> dict:
+    """The details of one work, nested."""
+    one = lambda df: None if df is None else df.where(F.col(key) == value)
+    return lookup(detail_rows(one(features), one(master), one(payments), one(scored), key), key, value)
+
+
+def demo_tables(tables: dict[str, DataFrame], master: str, paid: str, seed: str, n: int, key: str = "work_id") -> dict[str, DataFrame]:
+    """Each table's rows of the ``n`` sampled works: those that are in the tables ``master`` and ``paid``, by ``seeded_sample``. The sample's keys are written once."""
+    both = tables[master].select(key).where(F.col(key).isNotNull()).distinct().join(tables[paid].select(key), key, "left_semi")
+    ids = scratch(seeded_sample(both, key, seed, n), "demo")
+    return {name: df.join(ids, key, "left_semi") for name, df in tables.items()}
+
+
 def where_pairs(pairs: DataFrame, priority: str | None = None, batch: bool | None = False, least: float | None = None, text: str | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
     """Pairs by priority, by whether they are links of a batch (by default none), score, and a text in ``fields``."""
     if priority:

@@ -14,6 +14,7 @@ from quillspan.functions import parse
 from quillspan.functions import similarity as S
 from quillspan.functions import text as T
 from quillspan.operators import anomaly, compliance, duplicates, features, merge, payments, profile, rowquality, serve, trends
+from quillspan.session import scratch
 from quillspan.streaming import daily
 
 AS_OF = "2001-12-31"
@@ -73,11 +74,21 @@ def feature_rows(spark: SparkSession, d: str) -> DataFrame:
 def rule_rows(spark: SparkSession, d: str) -> DataFrame:
     """Works with what the compliance rules need; a completed work ends with its last payment."""
     last = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").cast("date").alias("last"))
-    w = works(spark, d).join(last, F.col("work_id") == F.col("l_orderkey"), "left").withColumn("is_completed", F.col("in_completed"))
-    w = w.withColumn("completion_date", F.when(F.col("is_completed"), F.col("last"))).drop("last", "l_orderkey")
-    paid = by_work(spark, d).select("work_id", F.col("success_amount").alias("disbursed"), F.col("last_expenditure_date").alias("last_payment_date"))
-    late = payments.late_payments(w.withColumn("completion_date", F.when(F.col("is_completed"), F.col("sanction_date"))), paid_rows(spark, d)).select("work_id", F.col("post_completion_count").alias("late_payments"))
-    return compliance.rule_mask(w.join(paid, "work_id", "left").join(late, "work_id", "left"), AS_OF)
+    w = works(spark, d).join(last, F.col("work_id") == F.col("l_orderkey"), "left")
+    w = w.withColumn("completion_date", F.when(F.col("in_completed"), F.col("last"))).drop("last", "l_orderkey")
+    late = payments.late_payments(w.withColumn("completion_date", F.when(F.col("in_completed"), F.col("sanction_date"))), paid_rows(spark, d)).select("work_id", F.col("post_completion_count").alias("late_payments"))
+    return compliance.rule_mask(compliance.rule_inputs(w, by_work(spark, d), late), AS_OF)
+
+
+_SERVED: dict[tuple[str, str], DataFrame] = {}
+
+
+def served(spark: SparkSession, d: str) -> DataFrame:
+    """Works with their payments, written once in a session: what a service reads its pages from."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _SERVED:
+        _SERVED[at] = scratch(works(spark, d).join(by_work(spark, d), "work_id", "left"), "served")
+    return _SERVED[at]
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
@@ -190,12 +201,12 @@ def status_classification(spark, d):
 
 
 def _flags(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("work_id"), "o_orderstatus")
-    return merge.presence({"r": o, "s": o.where("o_orderstatus <> 'O'"), "c": o.where("o_orderstatus = 'F'"), "e": table(spark, d, "lineitem").select(F.col("l_orderkey").alias("work_id"))})
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("work_id"), "o_orderstatus", "o_orderpriority")
+    return merge.presence({"r": o, "s": o.where("o_orderstatus <> 'O'"), "c": o.where("o_orderstatus = 'F'"), "e": table(spark, d, "lineitem").select(F.col("l_orderkey").alias("work_id")), "d": o.where("o_orderpriority = '1-URGENT'")})
 
 
-FLAGS = """flags AS (SELECT o_orderkey AS work_id, true AS has_r, o_orderstatus <> 'O' AS has_s, o_orderstatus = 'F' AS has_c, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS has_e FROM orders
-UNION ALL SELECT DISTINCT l_orderkey, false, false, false, true FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)), m AS (SELECT *, has_r OR has_s OR has_c AS has_m FROM flags)"""
+FLAGS = """flags AS (SELECT o_orderkey AS work_id, true AS has_r, o_orderstatus <> 'O' AS has_s, o_orderstatus = 'F' AS has_c, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS has_e, o_orderpriority = '1-URGENT' AS has_d FROM orders
+UNION ALL SELECT DISTINCT l_orderkey, false, false, false, true, false FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)), m AS (SELECT *, has_r OR has_s OR has_c AS has_m FROM flags)"""
 
 
 @query(f"WITH {FLAGS} SELECT has_r, has_s, has_c, has_e, count(*) AS works FROM m GROUP BY ALL")
@@ -226,18 +237,10 @@ def merge_conflicts(spark, d):
     return merge.conflict_counts(_merged(spark, d))
 
 
-@query(f"""WITH {WORKS} SELECT work_id, CASE WHEN o_orderstatus = 'O' THEN state ELSE upper(substr(state, 1, 1)) || lower(substr(state, 2)) END AS state,
-CASE WHEN o_orderstatus = 'O' THEN sanction_date ELSE (sanction_date + 1)::DATE END AS sanction_date, true AS in_recommended, o_orderstatus <> 'O' AS in_sanctioned, o_orderstatus = 'F' AS in_completed,
-CASE o_orderstatus WHEN 'O' THEN '' WHEN 'P' THEN 'sanction_date' ELSE 'work_category;sanction_date' END AS conflict_fields FROM works WHERE state NOT LIKE '% %'""")
-def merge_master(spark, d):
-    return _merged(spark, d).where("state not like '% %'").select("work_id", "state", "sanction_date", "in_recommended", "in_sanctioned", "in_completed", "conflict_fields")
-
-
 @query(f"""WITH {WORKS} SELECT work_id, CASE WHEN o_orderstatus = 'O' THEN state ELSE array_to_string(list_transform(string_split(state, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') END AS state,
 CASE WHEN o_orderstatus = 'O' THEN sanction_date ELSE (sanction_date + 1)::DATE END AS sanction_date, true AS in_recommended, o_orderstatus <> 'O' AS in_sanctioned, o_orderstatus = 'F' AS in_completed,
 CASE o_orderstatus WHEN 'O' THEN '' WHEN 'P' THEN 'sanction_date' ELSE 'work_category;sanction_date' END AS conflict_fields FROM works""")
-def merge_master_all(spark, d):
-    """``merge_master`` with the works whose state has several words as well."""
+def merge_master(spark, d):
     return _merged(spark, d).select("work_id", "state", "sanction_date", "in_recommended", "in_sanctioned", "in_completed", "conflict_fields")
 
 
@@ -529,14 +532,6 @@ _TRI = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1)), lam
 _LOW = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
 
 
-@query(f"""WITH i AS (SELECT item_id, list_distinct(list_transform(range(1, length(t) - 1), lambda i: array_to_string(c[i:i + 2], ''))) AS g FROM (SELECT item_id, {_LOW.format('text')} AS t, string_split({_LOW.format('text')}, '') AS c FROM benchmark))
-SELECT a.item_id AS id_a, b.item_id AS id_b, round(2.0::DOUBLE * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)), 6) AS dice FROM i a JOIN i b ON b.item_id = a.item_id + 1""")
-def trigram_similarity(spark, d):
-    g = table(spark, d, "benchmark").select("item_id", S.trigrams(F.col("text")).alias("g"))
-    a, b = (g.select(F.col("item_id").alias(f"id_{e}"), F.col("g").alias(f"g_{e}")) for e in "ab")
-    return a.join(b, F.col("id_b") == F.col("id_a") + 1).select("id_a", "id_b", F.round(S.dice(F.col("g_a"), F.col("g_b")), 6).alias("dice"))
-
-
 _STOP = ", ".join(f"'{w}'" for w in S.STOPWORDS)
 PARTS = f"""works AS (SELECT p_partkey AS id, p_brand AS constituency, p_type AS category, p_retailprice::DECIMAL(18,2)::DOUBLE AS amount, p_name AS description, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS norm FROM part),
 prep AS (SELECT *, list_distinct(list_filter(string_split(norm, ' '), lambda t: length(t) > 1 AND NOT regexp_full_match(t, '[0-9]+') AND t NOT IN ({_STOP}))) AS core, {_TRI.format(_LOW.format('description'))} AS tri FROM works),
@@ -571,6 +566,15 @@ def duplicate_candidates(spark, d):
     return duplicates.candidate_pairs(parts(spark, d))
 
 
+@query(f"WITH {PAIRS} SELECT id_a, id_b, round(2.0::DOUBLE * len(list_intersect(a.tri, b.tri)) / (len(a.tri) + len(b.tri)), 6) AS dice, round(len(list_intersect(a.core, b.core))::DOUBLE / nullif(len(a.core) + len(b.core) - len(list_intersect(a.core, b.core)), 0), 6) AS jaccard FROM cand JOIN prep a ON a.id = id_a JOIN prep b ON b.id = id_b")
+def trigram_similarity(spark, d):
+    """Of every candidate pair: trigrams by Dice, core tokens by Jaccard."""
+    p = duplicates.scratch(parts(spark, d), "parts")
+    a, b = (p.select(F.col("id").alias(f"id_{e}"), F.col("tri").alias(f"tri_{e}"), F.col("core").alias(f"core_{e}")) for e in "ab")
+    pairs = duplicates.candidate_pairs(p).join(a, "id_a").join(b, "id_b")
+    return pairs.select("id_a", "id_b", F.round(S.dice(F.col("tri_a"), F.col("tri_b")), 6).alias("dice"), F.round(S.jaccard(F.col("core_a"), F.col("core_b")), 6).alias("jaccard"))
+
+
 # Names of parts have no numerals, so the numeric rules can't fire here; they are tested on rows of their own.
 SCORES = f"""{PAIRS}, fr AS (SELECT *, count(*) OVER (PARTITION BY norm) AS national, count(*) OVER (PARTITION BY constituency, norm) AS loc_n FROM prep),
 sim AS (SELECT id_a, id_b, a.norm = b.norm AND a.norm <> '' AS exact, CASE WHEN a.norm = b.norm AND a.norm <> '' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(a.tri, b.tri)) / (len(a.tri) + len(b.tri)) END AS similarity,
@@ -620,7 +624,7 @@ def filtered_page(spark, d):
 
 @query(f"WITH {PAY}, {WORKS} SELECT work_id, state, duplicate_record_count FROM works LEFT JOIN by_work USING (work_id) ORDER BY duplicate_record_count DESC NULLS LAST, lower(state) ASC NULLS LAST, work_id LIMIT 25 OFFSET 25")
 def multi_sort_page(spark, d):
-    rows = works(spark, d).join(by_work(spark, d), "work_id", "left")
+    rows = served(spark, d)
     keys = serve.parse_sort("-duplicate_record_count,state", ["duplicate_record_count", "state"])
     return serve.page(serve.sort_rows(rows, keys, "work_id"), 2, 25).select("work_id", "state", "duplicate_record_count")
 

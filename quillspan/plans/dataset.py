@@ -73,7 +73,8 @@ def build(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     out["expenditure_transactions"] = scratch(paid.select(F.col("key__p.key").alias("work_id"), *columns, "source_row", "duplicate_record"), "transactions")
     out["expenditure_by_work"] = scratch(payments.payments_by_work(out["expenditure_transactions"], amount="fund_disbursed_amount", day="expenditure_date", vendor="vendor_name", status="payment_status"), "by_work")
     out["works_master"] = scratch(merge.merge_stages(*[kept[n] for n in STAGES]), "master")
-    flags = merge.presence({tag: kept[n] for n, tag in STAGES.items()} | {"e": out["expenditure_by_work"]})
+    dated = kept["recommended"].where("sanction_date is not null")
+    flags = merge.presence({tag: kept[n] for n, tag in STAGES.items()} | {"e": out["expenditure_by_work"], "d": dated})
     out["presence"] = scratch(flags, "presence")
     out["containment"], out["join_unmatched_ids"] = merge.containment_checks(out["presence"]), merge.unmatched_ids(out["presence"])
     out["conflicts"] = merge.conflict_counts(out["works_master"])

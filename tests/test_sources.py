@@ -41,6 +41,54 @@ def test_workbook(spark, tmp_path):
         xlsx.read_workbooks(spark, str(tmp_path / "*.xlsx"), {"other": []}, ["other"]).count()
 
 
+def odd_workbook(path, rows, strings="", main="xl/workbook.xml", props='<workbookPr date1904="1"/>'):
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("_rels/.rels", f'<Relationships><Relationship Id="a" Type="{rel}/officeDocument" Target="/{main}"/></Relationships>')
+        z.writestr(main, f'<workbook {NS} xmlns:r="{rel}">{props}<sheets><sheet name="One" r:id="r1"/><sheet name="Two" r:id="r2"/><sheet name="Gone" r:id="r9"/></sheets></workbook>')
+        base, leaf = main.rsplit("/", 1)
+        z.writestr(f"{base}/_rels/{leaf}.rels", '<Relationships><Relationship Id="r1" Target="sheets/1.xml"/><Relationship Id="r2" Target="sheets/2.xml"/><Relationship Id="r9" Target="sheets/9.xml"/><Relationship Id="s" Target="sharedStrings.xml"/></Relationships>')
+        z.writestr(f"{base}/sharedStrings.xml", f"<sst {NS}>{strings}</sst>")
+        z.writestr(f"{base}/sheets/1.xml", f"<worksheet {NS}><sheetData>{rows}</sheetData></worksheet>")
+        z.writestr(f"{base}/sheets/2.xml", f"<worksheet {NS}><sheetData/></worksheet>")
+
+
+STRINGS = '<si><t>Work</t></si><si><r><t>Rich </t></r><r><t>text</t></r><rPh sb="0" eb="1"><t>HINT</t></rPh></si><si><t>a_x000D_b_x005F_c_xD800_</t></si><si><t>Amount</t></si>'
+ODD = (
+    '<row><c t="inlineStr"><is><t>The title</t></is></c></row>'
+    '<row><c t="s"><v>0</v></c><c t="s"><v>3</v></c><c t="inlineStr"><is><t>Day</t></is></c><c t="inlineStr"><is><t>AMOUNT (Rs)</t></is></c><c t="inlineStr"><is><t>What?</t></is></c></row>'
+    '<row><c t="s"><v>1</v></c><c><v>5</v></c><c><v>45000.5</v></c></row>'
+    '<row><c r="C9"><v>45001</v></c><c r="A9" t="s"><v>2</v></c><c r="B9" t="e"><v>#REF!</v></c></row>'
+    '<row><c t="inlineStr"><is><t>x</t><rPh><t>no</t></rPh></is></c><c t="str"><v>7</v></c><c t="inlineStr"><is><t>45000</t></is></c></row>'
+)
+
+
+def test_workbook_fidelity(spark, tmp_path):
+    odd_workbook(tmp_path / "o.xlsx", ODD, STRINGS, "book/main.xml")
+    aliases = {"work": [], "amount": [], "day": [], "other": []}
+    got = xlsx.read_workbooks(spark, str(tmp_path / "o.xlsx"), aliases, ["work", "amount"]).orderBy("source_row").collect()
+    assert [(r.work, r.amount, r.day, r.numeric) for r in got] == [("Rich text", "5", "45000.5", ["amount", "day"]), ("a\rb_c\ufffd", None, "45001", ["day"]), ("x", "7", "45000", [])]
+    (x,) = xlsx.workbook_layouts(spark, str(tmp_path / "o.xlsx"), aliases, ["work", "amount"]).collect()
+    assert (x.sheet, x.header_row, x.title, x.unknown, x.repeated, x.absent, x.other_sheets, x.date1904) == ("One", 2, "The title", ["What?"], ["AMOUNT (Rs)"], ["other"], ["Two"], True)
+
+
+def test_workbook_errors(tmp_path):
+    odd_workbook(tmp_path / "o.xlsx", ODD, STRINGS)
+    whole = (tmp_path / "o.xlsx").read_bytes()
+    assert len(list(xlsx.Workbook(whole).rows("xl/sheets/1.xml"))) == 5
+    for content, said in ((b"junk", "no workbook"), (whole[:200], "no workbook")):
+        with pytest.raises(xlsx.WorkbookError, match=said):
+            xlsx.Workbook(content, "f")
+    odd_workbook(tmp_path / "p.xlsx", '<row><c t="s"><v>99</v></c></row>', STRINGS)
+    with pytest.raises(xlsx.WorkbookError, match="no shared string 99"):
+        list(xlsx.Workbook((tmp_path / "p.xlsx").read_bytes()).rows("xl/sheets/1.xml"))
+    odd_workbook(tmp_path / "q.xlsx", "<row><c><v>1</v>", STRINGS)
+    with pytest.raises(xlsx.WorkbookError, match="no XML"):
+        list(xlsx.Workbook((tmp_path / "q.xlsx").read_bytes()).rows("xl/sheets/1.xml"))
+    with pytest.raises(xlsx.WorkbookError, match="nearest is row 2 of One, which lacks price"):
+        xlsx._open("f", whole, {"work": [], "price": []}, ["work", "price"])
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "u.csv").write_bytes("﻿work_id,name\n1,é\n2,x\n".encode())
     (tmp_path / "w.csv").write_bytes("work_id,name\n1,é\n1,y\n".encode("cp1252"))
