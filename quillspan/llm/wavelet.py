@@ -31,7 +31,7 @@ from quillspan.session import shared_dir
 
 BLOCK = 512
 #: A shard is closed when it has so many ids; a document is never parted.
-SHARD_IDS = 6 << 20
+SHARD_IDS = 8 << 20
 #: Text of a key range, about, and how many ranges there are at most; each is a sorted stream of documents, cut into shards on its way.
 #: The driver holds RANGE_SAMPLE keys for each range to choose them.
 RANGE_BYTES, MAX_RANGES, RANGE_SAMPLE = 16 << 20, 20_000, 30
