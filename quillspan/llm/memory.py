@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def release() -> None:
@@ -29,8 +31,17 @@ def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     return wrapped
 
 
-def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Batches cut into parts of so many rows, so that a batch is never turned into Python objects as a whole."""
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts of so many rows and bytes of text, so that a batch is never turned into Python objects as a whole; a longer row is a part of its own."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        width = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                width += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(width)
+        i = 0
+        while i < batch.num_rows:
+            fits = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, side="right"))
+            n = max(1, min(rows, fits - i))
+            yield batch.slice(i, n)
+            i += n

@@ -34,15 +34,28 @@ def sequence_key(whole: bytes) -> bytes:
     return xxh3_128_digest(whole)
 
 
-def anchor_places(n_words: int) -> list[int]:
+def anchor_places(n_words: int) -> np.ndarray:
     """Where anchors start in a text of so many words; none in a text without a window."""
-    return [b + d for b in range(0, n_words, PERIOD) for d in COVER if b + d + ANCHOR <= n_words] if n_words >= WINDOW else []
+    if n_words < WINDOW:
+        return np.zeros(0, np.int64)
+    found = (np.arange(0, n_words, PERIOD)[:, None] + np.array(COVER)).ravel()
+    return found[found + ANCHOR <= n_words]
 
 
-def _hashes(whole: bytes, starts: list[int], ends: list[int], places, width: int) -> np.ndarray:
+def _hashes(whole: bytes, starts: np.ndarray, ends: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of the words from each place on: enough to find anchors, which only tell where to look."""
     from xxhash import xxh64_intdigest
 
-    return np.array([xxh64_intdigest(whole[starts[p] : ends[p + width - 1]]) for p in places], np.uint64).view(np.int64)
+    spans = zip(starts[places].tolist(), ends[places + width - 1].tolist())
+    return np.fromiter((xxh64_intdigest(whole[a:b]) for a, b in spans), np.uint64, len(places)).view(np.int64)
+
+
+def _keys(whole: bytes, starts: np.ndarray, ends: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
+    """128 bits for the words from each place on, as two longs: equal ones are taken for equal words."""
+    from xxhash import xxh3_128_digest
+
+    spans = zip(starts[places].tolist(), ends[places + width - 1].tolist())
+    return np.frombuffer(b"".join([xxh3_128_digest(whole[a:b]) for a, b in spans]), ">i8").astype(np.int64).reshape(-1, 2)
 
 
 def _batched(rows, schema: pa.Schema, most: int = 400) -> Iterator[pa.RecordBatch]:
@@ -70,13 +83,13 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, seq, starts, hashes) of the windows that hold a shared anchor aligned with their start."""
+    """(key, seq, starts, one, two) of the windows that hold a shared anchor aligned with their start; one and two are their keys."""
 
     def rows():
         for batch in parts(batches):
             for key, text, shared in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "shared"))):
                 whole, starts, ends = spread(text)
-                places = np.array(anchor_places(len(ends)), np.int64)
+                places = anchor_places(len(ends))
                 if not len(places):
                     continue
                 hit = places[np.isin(_hashes(whole, starts, ends, places, ANCHOR), np.array(shared, np.int64))]
@@ -86,9 +99,10 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(edge, np.minimum(hit + 1, last), -1)
                 at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                 if len(at):
-                    yield key, sequence_key(whole), at.astype(np.int32), _hashes(whole, starts, ends, at.tolist(), WINDOW)
+                    found = _keys(whole, starts, ends, at, WINDOW)
+                    yield key, sequence_key(whole), at.astype(np.int32), found[:, 0], found[:, 1]
 
-    return _batched(rows(), pa.schema([("key", pa.int64()), ("seq", pa.binary()), ("starts", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))]))
+    return _batched(rows(), pa.schema([("key", pa.int64()), ("seq", pa.binary()), ("starts", pa.list_(pa.int32())), ("one", pa.list_(pa.int64())), ("two", pa.list_(pa.int64()))]))
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -120,14 +134,14 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     shared = scratch(shared, "shared")
     drop_scratch(rows)
     free_shuffles(spark)
-    windows = scratch(slim.join(shared, "key").mapInArrow(releasing(_windows), "key long, seq binary, starts array<int>, hashes array<long>"), "windows")
+    windows = scratch(slim.join(shared, "key").mapInArrow(releasing(_windows), "key long, seq binary, starts array<int>, one array<long>, two array<long>"), "windows")
     drop_scratch(shared)
     free_shuffles(spark)
-    each = windows.select("key", "seq", F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select("key", "seq", F.col("w.hashes").alias("h"), F.col("w.starts").alias("s"))
-    owner = each.groupBy("h").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("h", "low")
+    each = windows.select("key", "seq", F.explode(F.arrays_zip("one", "two", "starts")).alias("w")).select("key", "seq", F.col("w.one").alias("h"), F.col("w.two").alias("g"), F.col("w.starts").alias("s"))
+    owner = each.groupBy("h", "g").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("h", "g", "low")
     owner = scratch(owner, "owner")
     free_shuffles(spark)
-    later = each.join(owner, "h").where("key > low").groupBy("key", "seq").agg(F.array_sort(F.collect_set("s")).alias("starts"))
+    later = each.join(owner, ["h", "g"]).where("key > low").groupBy("key", "seq").agg(F.array_sort(F.collect_set("s")).alias("starts"))
     later = later.select("key", "seq", F.lit(False).alias("whole"), "starts")
     copies = copies.select("key", "seq", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("starts"))
     found = later.unionByName(copies).groupBy("key").agg(F.collect_list(F.struct("seq", "whole", "starts")).alias("found"))
@@ -150,7 +164,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """All columns of ``docs``, the text replaced by what stays of it, with n_words, n_removed and kept_sha256 added.
 
     A word is a run of anything but ASCII white space. Each word that lies in a window of WINDOW consecutive words is
-    removed if the window's word sequence also starts in a row with a smaller key; windows are judged on the input.
+    removed if the window's word sequence also starts in a row with a smaller key; windows are judged on the input. Equal 128-bit hashes are taken for equal words; a wrong one among 1e15 windows has a chance of about 1e-9.
     A text that loses words becomes its other words joined by one space, any other text stays as it is. kept_sha256 is
     that of the kept words joined by one space. Null texts have no words and stay null. Rows with a null key keep all
     and own nothing; rows of the same key don't remove each other's words. The key is cast to long for comparisons.
@@ -177,7 +191,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                     elif own:
                         out = covered(len(ends), [s for m in own for s in m["starts"]])
                         gone = int(out.sum())
-                        whole = b" ".join(whole[starts[i] : ends[i]] for i in np.flatnonzero(~out).tolist())
+                        left = np.flatnonzero(np.diff(np.concatenate([[1], out, [1]]).astype(np.int8)))  # of runs that stay: first word, one past the last
+                        whole = b" ".join([whole[starts[a] : ends[b - 1]] for a, b in zip(left[::2].tolist(), left[1::2].tolist())])
                         body = whole.decode()
                 texts.append(body)
                 counts.append(len(ends))

@@ -41,6 +41,8 @@ def test_against_brute_force(spark):
             parts += [p[a:] if r.random() < 0.5 else p, [word() for _ in range(r.randint(0, 40))]]
         rows.append((r.randrange(1, 80), r.choice([" ", "\n", " \t"]).join(x for p in parts for x in p)))
     rows += [(200, rows[20][1]), (201, rows[20][1]), (5, rows[21][1]), (5, rows[21][1]), (300, "a " * 200), (301, "a " * 90)]
+    book = [word() for _ in range(30_000)]
+    rows += [(400, " ".join(book)), (401, " ".join(book[100:20_000] + ["cut"] + book[20_000:]))]
     docs = spark.createDataFrame([(k, t, "z", "w") for k, t in rows], "doc_id long, text string, key string, n_words string").repartition(5)
     got = substring.remove_repeats(docs)
     assert got.columns == ["doc_id", "text", "key", "n_words", "n_removed", "kept_sha256"]
