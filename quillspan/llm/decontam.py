@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.memory import parts as part_of
 from quillspan.llm.memory import releasing
+from quillspan.llm.words import stretches
+from quillspan.session import scratch
 
 RATE = 0.15
-#: Items of fewer words are too common to tell anything and are left out.
-MIN_WORDS = 6
 #: Item text that one pass over the documents takes; more items are taken in blocks.
 BLOCK_BYTES = 16 << 20
 
@@ -72,7 +72,7 @@ class Matcher:
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for key, text in items:
             words = tokens(text)
-            if len(words) < MIN_WORDS:
+            if not words:
                 continue
             edits = int(len(words) * rate)
             for at, piece in pieces(words, edits):
@@ -82,10 +82,22 @@ class Matcher:
         for piece, places in where.items():
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
+        #: Words before a stretch's end that an item which ends in the next one may take.
+        self.reach = max((len(words) + 2 * edits for _, words, edits in self.items), default=0)
 
     def find(self, text: str | None) -> list[tuple[int, int]]:
-        """(item, least distance) of each item within its budget."""
-        words = tokens(text)
+        """(item, least distance) of each item within its budget; a long text is read in stretches that overlap."""
+        best: dict[int, int] = {}
+        tail: list[str] = []
+        for raw in stretches(text):
+            words = tail + tokens(raw.decode())
+            for i, d in self._within(words):
+                best[i] = min(d, best.get(i, d))
+            tail = words[-self.reach :] if self.reach else []
+        return [(self.items[i][0], d) for i, d in best.items()]
+
+    def _within(self, words: list[str]) -> list[tuple[int, int]]:
+        """(number of the item, least distance) of each item within its budget in a run of words."""
         flat = f" {' '.join(words)} "
         hits = list(self.automaton.iter(flat)) if self.items else []
         if not hits:
@@ -101,14 +113,14 @@ class Matcher:
                 likely[item].add(word - off)
         out = []
         for item, begins in likely.items():
-            key, pattern, edits = self.items[item]
+            _, pattern, edits = self.items[item]
             best = edits + 1
             for lo, hi in _merged(sorted(begins), len(pattern), edits):
                 best = min(best, myers(pattern, words[max(0, lo) : max(0, hi)]))
                 if not best:
                     break
             if best <= edits:
-                out.append((key, best))
+                out.append((item, best))
         return out
 
 
@@ -129,37 +141,79 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
     Words are lower-case runs of letters and digits; punctuation and layout don't count. distance: the least number of
     words to put in, leave out or change to make the item a run of the document's words; the budget is ``rate`` times
-    the item's words, rounded down. Items under MIN_WORDS words (nulls and empty ones too) match nothing; null and
-    empty documents hold nothing. Repeated rows of either table give repeated pairs.
+    the item's words, rounded down, so items under seven words must stand there as they are. Items without words (nulls
+    and empty ones too) match nothing; null and empty documents hold nothing. Null keys stay null; repeated rows of either
+    table give repeated pairs; an empty table gives none. Other columns aren't read.
 
-    Documents aren't shuffled. Items are a stated query set, sent to the tasks in blocks of ``block_bytes`` of text,
-    so neither the driver nor a task ever holds more of them.
+    Documents aren't shuffled. Items are a stated query set, sent to the tasks in blocks of about ``block_bytes`` of text; of
+    several blocks each is searched and its pairs written before the next is fetched, so neither the driver nor a
+    task holds two.
     """
-    own = items.select(items[item_key].cast("long").alias("item"), items[item_text].alias("text")).where("text is not null")
-    volume = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-volume // block_bytes))
     kind = docs.schema[key].dataType.simpleString()
     slim = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+    shape = f"key {kind}, item long, distance int"
+    blocks = item_blocks(items, item_key, item_text, block_bytes)
+    found = [slim.mapInArrow(releasing(_search(block, rate)), shape) for block in blocks] if len(blocks) == 1 else [scratch(slim.mapInArrow(releasing(_search(block, rate)), shape), "pairs") for block in blocks]
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("key", key).withColumnRenamed("item", item_key)
+
+
+class Blocks:
+    """The items in blocks, each fetched when it is asked for."""
+
+    def __init__(self, items: DataFrame, n: int):
+        self.items, self.n = items, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[list[tuple[int, str]]]:
+        for b in range(self.n):
+            yield [(r.item, r.text) for r in self.items.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.n)) == b).collect()]
+
+
+def item_blocks(items: DataFrame, item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> Blocks:
+    """The items that have a text, by a hash, in blocks of about ``block_bytes``."""
+    own = items.select(items[item_key].cast("long").alias("item"), items[item_text].alias("text")).where("text is not null")
+    volume = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return Blocks(own, max(1, -(-volume // block_bytes)))
+
+
+def _search(block: list[tuple[int, str]], rate: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(block, rate)
+        for batch in part_of(batches):
+            at, item, distance = [], [], []
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                for k, d in matcher.find(t):
+                    at.append(i)
+                    item.append(k)
+                    distance.append(d)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(distance, pa.int32())], ["key", "item", "distance"])
+
+    return run
+
+
+def without_items(docs: DataFrame, items: DataFrame, text: str = "text", rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text holds no item within its budget, as ``contamination`` counts it.
+
+    A row is judged by its own text alone, so null and repeated keys don't matter. Null and empty texts stay.
+    """
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
-    def search(block: list[tuple[int, str]]):
+    def free_of(block: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(block, rate)
             for batch in part_of(batches):
-                at, item, distance = [], [], []
-                for i, t in enumerate(batch.column("text").to_pylist()):
-                    for k, d in matcher.find(t):
-                        at.append(i)
-                        item.append(k)
-                        distance.append(d)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(distance, pa.int32())], ["key", "item", "distance"])
+                yield batch.filter(pa.array([not matcher.find(t) for t in batch.column(text).to_pylist()], pa.bool_()))
 
         return run
 
-    parts = []
-    for b in range(n):
-        block = [(r.item, r.text) for r in own.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()]
-        parts.append(slim.mapInArrow(releasing(search(block)), f"key {kind}, item long, distance int"))
-    return reduce(DataFrame.unionByName, parts).withColumnRenamed("key", key).withColumnRenamed("item", item_key)
+    blocks = item_blocks(items, item_text="text", block_bytes=block_bytes)
+    for b, block in enumerate(blocks):
+        docs = docs.mapInArrow(releasing(free_of(block)), kinds)
+        if b + 1 < len(blocks):
+            docs = scratch(docs, "free")
+    return docs
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

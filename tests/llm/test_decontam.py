@@ -24,7 +24,7 @@ def test_myers():
 def test_against_brute_force(spark):
     r = random.Random(9)
     word = lambda: r.choice(["the", "of", "Äh", "to", "x1", *("w%d" % r.randrange(60) for _ in range(4))])
-    items = [(i, " ".join(word() for _ in range(r.randint(3, 40)))) for i in range(25)] + [(90, None), (91, ""), (92, "ha " * 12)]
+    items = [(i, " ".join(word() for _ in range(r.randint(1, 40)))) for i in range(25)] + [(90, None), (91, ""), (92, "ha " * 12)]
     rows = [(1, None), (2, ""), (3, "ha " * 300), (None, items[7][1])]
     for k in range(10, 160):
         w = [word() for _ in range(r.randint(0, 60))]
@@ -43,11 +43,24 @@ def test_against_brute_force(spark):
     for k, t in rows:
         for i, b in items:
             p = decontam.tokens(b)
-            if len(p) >= decontam.MIN_WORDS and (d := distance(p, decontam.tokens(t))) <= int(len(p) * decontam.RATE):
+            if p and (d := distance(p, decontam.tokens(t))) <= int(len(p) * decontam.RATE):
                 want.append((k, i, d))
     for size in (decontam.BLOCK_BYTES, 500):
         got = decontam.contamination(docs, bench, block_bytes=size)
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
-    assert len(want) > 30
+    assert len(want) > 30 and any(len(decontam.tokens(dict(items)[i])) < 4 for _, i, _ in want)
+    held = {(k, t) for k, t in rows if any((k, i, d) in want for i, _ in items for d in range(9))}
+    for size in (decontam.BLOCK_BYTES, 500):
+        left = decontam.without_items(docs, bench, block_bytes=size)
+        assert left.columns == docs.columns
+        assert sorted(((x.doc_id, x.text) for x in left.collect()), key=str) == sorted((x for x in rows if x not in held), key=str)
     assert decontam.contamination(docs.limit(0), bench).count() == 0
     assert decontam.contamination(docs, bench.limit(0)).count() == 0
+
+
+def test_long_texts_are_read_in_stretches():
+    m = decontam.Matcher([(7, "one two three four five six seven eight nine ten"), (8, "solo")], decontam.RATE)
+    for lead in (1 << 20, (1 << 20) - 20, (1 << 20) - 47, (1 << 20) - 5):
+        text = "x" * (lead - 1) + " One, two three four FIVE six eight nine ten. " + "y " * 700_000 + "solo"
+        assert sorted(m.find(text)) == [(7, 1), (8, 0)]
+    assert m.find("z " * 900_000) == []
