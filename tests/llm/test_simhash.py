@@ -44,6 +44,26 @@ def test_fingerprint():
         assert simhash.fingerprint(t) == plain(t)
 
 
+def test_long_texts_are_read_in_stretches():
+    r = random.Random(6)
+    w = ["".join(r.choice("abcD") for _ in range(r.randint(1, 9))) for _ in range(500_000)]
+    text = "\n ".join(w)
+    assert len(text) > 3 << 20
+    low = [x.lower() for x in w]
+    want = np.array([xxhash.xxh64(" ".join(low[i : i + 4]).encode(), seed=42).intdigest() for i in range(len(w) - 3)], "<u8")
+    assert np.array_equal(simhash.shingle_hashes(text), want)
+    most = 2 * np.unpackbits(want.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) > len(want)
+    assert simhash.fingerprint(text) == int(np.packbits(most, bitorder="little").view("<u8")[0])
+    assert len(simhash.shingle_hashes("x" * 5_000_000)) == 1 and len(simhash.shingle_hashes(" " * 5_000_000)) == 0
+
+
+def test_pivot_tables(spark):
+    fps = [0, -1, 5, 1 << 62, -(1 << 63)]
+    rows = sorted(map(tuple, simhash.with_pivot_table(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()))
+    table = simhash.pivot_table(np.array([x[1] for x in rows]), np.array([x[2] for x in rows]))
+    assert table.T.tolist() == [[((f ^ p) % (1 << 64)).bit_count() for p in simhash.pivots()] for f in sorted(fps)]
+
+
 def test_groups(spark):
     rows = [(3 * i, t, "k") for i, t in enumerate(texts())]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(4)
@@ -66,7 +86,7 @@ def test_links_lose_none(spark):
     want = brute({f: f for f in fps})
     for tile in (8, simhash.TILE):
         df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-        links = simhash.fingerprint_links(df, 4, len(fps), tile=tile).collect()
+        links = simhash.fingerprint_links(simhash.with_pivot_table(df), 4, len(fps), tile=tile).collect()
         own = {f: f for f in fps}
         find = lambda x: x if own[x] == x else find(own[x])  # noqa: E731, B023
         for a, b in links:
