@@ -40,27 +40,32 @@ def interleave(docs: DataFrame, shards: int, key: str = "doc_id", stratum: str =
     """Give each row a shard and a slot; all columns of ``docs`` stay.
 
     Rows are put in seeded random order within their stratum; the row of rank r among n has the fractional
-    rank (r + 1/2) / n. All rows are sorted by it (ties: stratum, shuffle number, key) and cut into ``shards``
-    runs whose sizes differ by one at most, so each shard holds each stratum in proportion.
+    rank (r + u) / n, u being its shuffle number as a fraction of one, which spreads the rows of many small strata. All rows are
+    sorted by it (ties: stratum, shuffle number, key, a hash of the row) and cut into ``shards`` runs whose sizes differ by
+    one at most, so each shard holds each stratum in proportion.
 
-    Null strata are a stratum of their own. Rows with a null or repeated key keep a place of their own; which of
-    two rows with the same key comes first is not defined. An empty table gives an empty result. Columns of ``docs``
-    named shard or slot are replaced.
+    Null strata are a stratum of their own. Rows with a null or repeated key keep a place of their own, in the order of a hash
+    of all their columns; equal rows are interchangeable. Texts are never compared, however long. An empty table gives an
+    empty result. Columns of ``docs`` named shard or slot are replaced.
     """
     docs = docs.drop("shard", "slot")
     total = docs.count()
     buckets = 1 + groups * math.isqrt(total)
     top = 1 << 60
-    df = docs.withColumn("__qs_h", F.coalesce(shuffle_key(seed, key), F.lit(0)))
-    df = _ranked(df, [stratum], (F.col("__qs_h") / F.lit(top) * F.lit(buckets)).cast("int"), ["__qs_h", key], "__qs_rank")
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    # A null key is no number: such rows are dealt by their hash.
+    once = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("-"), row.cast("string")))
+    df = docs.withColumns({"__qs_row": row, "__qs_key": once})
+    df = df.withColumn("__qs_h", shuffle_key(seed, "__qs_key"))
+    df = _ranked(df, [stratum], (F.col("__qs_h") / F.lit(top) * F.lit(buckets)).cast("int"), ["__qs_h", "__qs_key", "__qs_row"], "__qs_rank")
     sizes = docs.groupBy(stratum).agg(F.count(F.lit(1)).alias("__qs_n")).withColumnRenamed(stratum, "__qs_s")
-    df = df.join(sizes, F.col(stratum).eqNullSafe(F.col("__qs_s"))).withColumn("__qs_f", (F.col("__qs_rank") + 0.5) / F.col("__qs_n"))
+    df = df.join(sizes, F.col(stratum).eqNullSafe(F.col("__qs_s"))).withColumn("__qs_f", (F.col("__qs_rank") + F.col("__qs_h") / F.lit(top)) / F.col("__qs_n"))
     df = scratch(df.drop("__qs_s", "__qs_n", "__qs_rank"), "shards")
     df = df.withColumn("__qs_all", F.lit(0))
-    df = _ranked(df, ["__qs_all"], (F.col("__qs_f") * F.lit(buckets)).cast("int"), ["__qs_f", F.col(stratum).asc_nulls_first(), "__qs_h", key], "__qs_pos")
+    df = _ranked(df, ["__qs_all"], (F.col("__qs_f") * F.lit(buckets)).cast("int"), ["__qs_f", F.col(stratum).asc_nulls_first(), "__qs_h", "__qs_key", "__qs_row"], "__qs_pos")
     df = df.withColumn("shard", F.expr(f"cast((__qs_pos * {shards}L) div {max(total, 1)}L as int)"))
     first = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
-    return df.withColumn("slot", F.col("__qs_pos") - first).drop("__qs_h", "__qs_f", "__qs_pos", "__qs_all")
+    return df.withColumn("slot", F.col("__qs_pos") - first).drop("__qs_h", "__qs_f", "__qs_pos", "__qs_all", "__qs_key", "__qs_row")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

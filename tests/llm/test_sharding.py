@@ -12,7 +12,7 @@ def brute(rows, shards, seed=7):
     order = []
     for s, own in by.items():
         for r, (h, k) in enumerate(sorted(own)):
-            order.append(((r + 0.5) / len(own), s is not None, s or "", h, k))
+            order.append(((r + h / (1 << 60)) / len(own), s is not None, s or "", h, k))
     order.sort()
     n, out, last = len(order), {}, Counter()
     for i, (*_, k) in enumerate(order):
@@ -41,3 +41,6 @@ def test_edges(spark):
     odd = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (None, "a", "y"), (None, None, None)], kinds)
     got = sharding.interleave(odd, 40).collect()
     assert len(got) == 4 and len({(x.shard, x.slot) for x in got}) == 4
+    many = spark.createDataFrame([(None if k % 3 else 7, f"s{k}", "x" * 1000) for k in range(400)], kinds)  # strata of one row, hot keys
+    runs = [sorted((x.source, x.shard, x.slot) for x in sharding.interleave(many.repartition(n), 40).collect()) for n in (2, 5)]
+    assert runs[0] == runs[1] and Counter(s for _, s, _ in runs[0]) == Counter(dict.fromkeys(range(40), 10))
