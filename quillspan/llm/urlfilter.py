@@ -18,9 +18,10 @@ from quillspan.session import scratch
 
 ALLOW, BLOCK = "allow", "block"
 #: Split points are chosen from a sample of about this many keys for each range; every row is judged.
-SAMPLE_PER_RANGE = 20
-#: URLs in a range, about.
-RANGE_ROWS = 1_000_000
+SAMPLE_PER_RANGE, KEY_LETTERS = 20, 400
+#: URLs in a range, about, and how many ranges there are at most: the driver and the tasks hold so many cuts, and the driver
+#: the sample. A range is swept as a sorted stream, so it may be of any size.
+RANGE_ROWS, MAX_RANGES = 1_000_000, 10_000
 
 
 def url_parts(url: str):
@@ -81,7 +82,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     column; repeated keys get a row each, a null key stays null. Only ``key`` and ``url`` are read.
 
     A host with any share of the rows is dealt over several ranges, as keys go on with path and a salt; the rules
-    around a range's first key, a few labels deep, are what is copied.
+    around a range's first key, a few labels deep, are what is copied. Very long URLs are judged whole; an empty table gives
+    an empty result, and columns of other names are ignored.
     """
     spark = pages.sparkSession
     host, path = url_parts(url)
@@ -89,9 +91,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     urls = urls.withColumn("sort", F.concat("key", F.lit("\x00"), "path", F.lit("\x00"), F.hex(F.xxhash64("row", F.lit(1)))))
     urls = scratch(urls, "urls")
     total = urls.count()
-    n = ranges or max(1, total // RANGE_ROWS, min(total // 1000, 2 * spark.sparkContext.defaultParallelism))
+    n = ranges or min(MAX_RANGES, max(1, total // RANGE_ROWS, min(total // 1000, 2 * spark.sparkContext.defaultParallelism)))
     share = min(1.0, n * SAMPLE_PER_RANGE / max(total, 1))
-    seen = sorted(r[0] for r in urls.select("sort").sample(share, 11).collect())  # n * SAMPLE_PER_RANGE keys, about
+    # About n * SAMPLE_PER_RANGE keys, their first KEY_LETTERS only: any cut will do.
+    seen = sorted(r[0] for r in urls.select(F.substring("sort", 1, KEY_LETTERS)).sample(share, 11).limit(2 * n * SAMPLE_PER_RANGE).collect())
     cuts = sorted({seen[len(seen) * i // n] for i in range(1, n)}) if seen else []
 
     def place(batches):
