@@ -11,14 +11,16 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.memory import parts, releasing
+from quillspan.llm.words import stretches
 from quillspan.session import scratch
 
 #: Labelled rows that a fit uses at most; which ones depends on a hash of their key.
@@ -38,12 +40,13 @@ INSULTS = frozenset(
 #: Second-person words of the same languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú usted ustedes ti tus".split())
 #: What a sign in a disguised word stands for.
-DISGUISE = str.maketrans("013457@$!*", "oieastasia")
+DISGUISE = str.maketrans("013457@$!", "oieastasi")
 NEAR = 5
 FEATURES = ["fixed", "learned", "known", "kinds", "log_known", "burst", "near_you", "you", "capitals", "shouted", "exclaim", "question", "signs", "disguised", "disguised_known", "log_words"]
 
 _word = re.compile(r"[^\W_]+").findall
-_mixed = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$!*]++[^\W\d_]\w*").findall  # each run of letters is tried once
+_mixed = re.compile(r"(?<![^\W\d_])[^\W\d_]++[0-9@$!*]++[^\W\d_][\w@$!*]*").findall  # each run of letters is tried once
+_led = re.compile(r"(?<![\w@$!*])[0-9@$!*]++[^\W\d_][\w@$!*]*").findall
 _spelt = re.compile(r"\b(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]\b").findall
 _shout = re.compile(r"\b[A-Z]{3,}\b").findall
 _apart = re.compile(r"[ .\-_*]")
@@ -59,45 +62,74 @@ def lexicon_heads(learned: frozenset[str]) -> frozenset[str]:
     return frozenset(w.rstrip("*")[: STEMS[0]] for w in learned)
 
 
-def text_features(text: str | None, learned: frozenset[str] = frozenset(), heads: frozenset[str] = frozenset()) -> list[float]:
-    """The features of one text, in the order of FEATURES; all zero for an empty one. heads: of ``learned``."""
-    text = text or ""
-    words = _word(text.lower())
-    n = len(words)
+def is_disguised(word: str) -> bool:
+    """Whether a word with signs stands for an insult: signs for letters that look like them, a star for any."""
+    plain = [w.translate(DISGUISE) for w in {word.lower(), word.lower().rstrip("!*")}]
+    return any(p in INSULTS or "*" in p and any(len(x) == len(p) and all(c in ("*", d) for c, d in zip(p, x)) for x in INSULTS) for p in plain)
+
+
+def features_by_lexicon(text: str | None, lexicons: list[frozenset[str]], heads: frozenset[str]) -> list[list[float]]:
+    """The features of one text, in the order of FEATURES, under each lexicon; all zero for a text without words. ``heads``: of all lexicons.
+
+    A long text is read in stretches; a word that is spelt out over the end of one isn't seen as such.
+    """
+    fixed: list[int] = []
+    likely: list[tuple[int, str]] = []
+    you: list[int] = []
+    kinds: dict[int, str] = {}
+    n = size = capitals = exclaim = question = signs = shouted = mixed = hidden = 0
+    for raw in stretches(text):
+        part = raw.decode()
+        words = _word(part.lower())
+        for i, w in enumerate(words, n):
+            if w in INSULTS:
+                fixed.append(i)
+                kinds[i] = w
+            if w in SECOND_PERSON:
+                you.append(i)
+        if heads:
+            likely += [(i, w) for i, w in enumerate(words, n) if w[:4] in heads]
+        less = lambda signs: len(raw) - len(raw.translate(None, signs))  # noqa: B023, E731
+        own = _mixed(part)
+        n += len(words)
+        size += len(raw)
+        capitals, exclaim, question, signs = capitals + less(_CAPITALS), exclaim + less(b"!"), question + less(b"?"), signs + less(_SIGNS)
+        shouted, mixed = shouted + len(_shout(part)), mixed + len(own)
+        hidden += sum(map(is_disguised, own)) + sum(map(is_disguised, _led(part))) + sum(_apart.sub("", w).lower() in INSULTS for w in _spelt(part))
     if not n:
-        return [0.0] * len(FEATURES)
-    fixed = [i for i, w in enumerate(words) if w in INSULTS]
-    taught = [i for i, w in enumerate(words) if w[:4] in heads and _has(learned, w)] if heads else []
-    known = sorted({*fixed, *taught})
-    you = [i for i, w in enumerate(words) if w in SECOND_PERSON] if known else []
-    near = burst = 0
-    if known:
-        at, person = np.array(known), np.array(you)
-        burst = int((np.searchsorted(at, at + 50) - np.arange(len(at))).max())
-        near = int((np.searchsorted(person, at + NEAR, side="right") > np.searchsorted(person, at - NEAR)).sum()) if len(person) else 0
-    raw = text.encode()
-    less = lambda signs: len(raw) - len(raw.translate(None, signs))
-    mixed = _mixed(text)
-    hidden = sum(w.lower().translate(DISGUISE) in INSULTS for w in mixed) + sum(_apart.sub("", w).lower() in INSULTS for w in _spelt(text))
-    size = len(raw)
-    return [
-        100 * len(fixed) / n,
-        100 * len(taught) / n,
-        100 * len(known) / n,
-        float(len({words[i] for i in known})),
-        math.log1p(len(known)),
-        float(burst),
-        100 * near / n,
-        100 * len(you) / n,
-        100 * less(_CAPITALS) / size,
-        100 * len(_shout(text)) / n,
-        100 * less(b"!") / size,
-        100 * less(b"?") / size,
-        100 * less(_SIGNS) / size,
-        100 * len(mixed) / n,
-        100.0 * hidden / n,
-        math.log1p(n),
-    ]
+        return [[0.0] * len(FEATURES) for _ in lexicons]
+    person, out = np.array(you, np.int64), []
+    for learned in lexicons:
+        taught = [(i, w) for i, w in likely if _has(learned, w)]
+        at = np.array(sorted({*fixed, *(i for i, _ in taught)}), np.int64)
+        near = burst = 0
+        if len(at):
+            burst = int((np.searchsorted(at, at + 50) - np.arange(len(at))).max())
+            near = int((np.searchsorted(person, at + NEAR, side="right") > np.searchsorted(person, at - NEAR)).sum())
+        out.append([
+            100 * len(fixed) / n,
+            100 * len(taught) / n,
+            100 * len(at) / n,
+            float(len({*kinds.values(), *(w for _, w in taught)})),
+            math.log1p(len(at)),
+            float(burst),
+            100 * near / n,
+            100 * len(you) / n,
+            100 * capitals / size,
+            100 * shouted / n,
+            100 * exclaim / size,
+            100 * question / size,
+            100 * signs / size,
+            100 * mixed / n,
+            100.0 * hidden / n,
+            math.log1p(n),
+        ])
+    return out
+
+
+def text_features(text: str | None, learned: frozenset[str] = frozenset(), heads: frozenset[str] = frozenset()) -> list[float]:
+    """The features of one text under one lexicon; heads: of ``learned``."""
+    return features_by_lexicon(text, [learned], heads)[0]
 
 
 @dataclass
@@ -205,26 +237,40 @@ def _entries(text: str | None) -> dict[str, int]:
     return found
 
 
-def _lexicon(sample: DataFrame) -> frozenset[str]:
-    """Words and stems that are far likelier in toxic texts of the sample, in many contexts: what only copies share has few."""
+def _lexicons(sample: DataFrame, folds: int) -> list[frozenset[str]]:
+    """For each fold the lexicon of the others, and last that of all.
+
+    An entry is a word or stem that is far likelier in toxic texts, in many contexts: what only copies share has few. Texts that
+    are equal count once, as toxic if any of them is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 100):
-                own = [(w, y, c) for t, y in zip(*(batch.column(n).slice(i, 100).to_pylist() for n in ("text", "toxic"))) for w, c in _entries(t).items()]
-                cols = list(zip(*own)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["word", "toxic", "c"])
-
-    once = sample.select("text", "toxic", F.xxhash64("text").alias("t")).dropDuplicates(["t"])
-    total, toxic = once.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not toxic or toxic == total:
-        return frozenset()
-    each = once.select("text", "toxic").mapInArrow(releasing(run), "word string, toxic int, c long")
-    stats = each.groupBy("word", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
-    stats = stats.groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("c"))
-    odds = F.log((F.col("bad") + 0.5) / F.lit(float(toxic))) - F.log((F.col("n") - F.col("bad") + 0.5) / F.lit(float(total - toxic)))
-    top = stats.where((F.col("n") >= LEXICON_TEXTS) & (F.col("c") >= 0.8 * F.col("n"))).withColumn("odds", odds).where(F.col("odds") >= LEXICON_ODDS)
-    return frozenset(r.word for r in top.orderBy(F.desc("odds"), "word").limit(LEXICON_WORDS).collect())
+        for batch in parts(batches, 100):
+            own = [(w, y, c, k) for t, y, k in zip(*(batch.column(n).to_pylist() for n in ("text", "toxic", "fold"))) for w, c in _entries(t).items()]
+            cols = list(zip(*own)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], ["word", "toxic", "c", "fold"])
+
+    once = scratch(sample.groupBy("t", "fold").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic", "fold"), "texts")
+    of = lambda value: [F.coalesce(F.sum(F.when(F.col("fold") == f, value)), F.lit(0)) for f in range(folds)]
+    n, bad = [f"n{f}" for f in range(folds)], [f"bad{f}" for f in range(folds)]
+    counts = [*[c.alias(a) for c, a in zip(of(F.lit(1)), n)], *[c.alias(a) for c, a in zip(of(F.col("toxic")), bad)]]
+    totals = once.agg(*counts).first()
+    but = lambda names, k: [x for f, x in enumerate(names) if f != k]
+    stats = once.mapInArrow(releasing(run), "word string, toxic int, c long, fold int").groupBy("word", "c").agg(*counts)
+    some = [F.count_if(reduce(Column.__add__, map(F.col, but(n, k))) > 0).alias(f"c{k}") for k in range(folds + 1)]
+    stats = stats.groupBy("word").agg(*[F.sum(x).alias(x) for x in (*n, *bad)], *some)
+    stats = scratch(stats.where(reduce(Column.__add__, map(F.col, n)) >= LEXICON_TEXTS), "words")
+    out = []
+    for k in range(folds + 1):
+        total, toxic = sum(totals[x] for x in but(n, k)), sum(totals[x] for x in but(bad, k))
+        if not toxic or toxic == total:
+            out.append(frozenset())
+            continue
+        all_, yes = (reduce(Column.__add__, map(F.col, but(x, k))) for x in (n, bad))
+        odds = F.log((yes + 0.5) / F.lit(float(toxic))) - F.log((all_ - yes + 0.5) / F.lit(float(total - toxic)))
+        top = stats.where((all_ >= LEXICON_TEXTS) & (F.col(f"c{k}") >= 0.8 * all_)).withColumn("odds", odds).where(F.col("odds") >= LEXICON_ODDS)
+        out.append(frozenset(r.word for r in top.orderBy(F.desc("odds"), "word").limit(LEXICON_WORDS).collect()))
+    return out
 
 
 def held_out(key: str):
@@ -235,36 +281,44 @@ def held_out(key: str):
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_LABELLED, folds: int = 5) -> Model:
     """A model from at most ``most`` labelled rows that aren't held out; of a key's labels the largest counts, null labels don't.
 
-    Without labels of both kinds every score is the mean label, or 1/2. The sample's keys and labels (16 bytes each) are
-    broadcast to the scan of the texts; its features, some 130 bytes a row, go to the driver.
+    Of a repeated key's texts the least counts. Which rows are taken and how they fold depends on hashes alone, so a fit can
+    be repeated. Equal texts are in the same fold, and what a fold is scored with - lexicon and trees - has seen none of its
+    labels; the calibration is fitted to those scores. Without labels of both kinds every score is the mean label, or 1/2.
+
+    The sample's keys and labels (16 bytes each) are broadcast to the scan of the texts; its features, some 130 bytes a row and
+    fold, go to the driver.
     """
     known = labels.select(labels[key].cast("long").alias("key"), labels[label].cast("int").alias("toxic")).where("key is not null and toxic is not null")
     known = known.where(~held_out("key")).groupBy("key").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("key"), "key").limit(most)
     slim = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    sample = scratch(slim.join(F.broadcast(known), "key").dropDuplicates(["key"]), "labelled")
-    learned = _lexicon(sample)
-    heads = lexicon_heads(learned)
+    sample = slim.join(F.broadcast(known), "key").groupBy("key").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    sample = sample.withColumn("t", F.xxhash64("text")).withColumn("fold", F.pmod("t", F.lit(folds)).cast("int"))
+    sample = scratch(sample, "labelled")
+    lexicons = _lexicons(sample, folds)
+    heads = lexicon_heads(frozenset().union(*lexicons))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            own = [text_features(t, learned, heads) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), pa.array(own, pa.list_(pa.float64()))], ["key", "toxic", "x"])
+            own = [[v for x in features_by_lexicon(t, lexicons, heads) for v in x] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), batch.column("fold"), pa.array(own, pa.list_(pa.float64()))], ["key", "toxic", "fold", "x"])
 
-    rows = sorted(sample.mapInArrow(releasing(run), "key long, toxic int, x array<double>").collect())
-    x, y = np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r.toxic for r in rows], float)
-    trees = fit_trees(x, y)
+    rows = sorted(sample.mapInArrow(releasing(run), "key long, toxic int, fold int, x array<double>").collect())
+    x = np.array([r.x for r in rows], float).reshape(len(rows), folds + 1, len(FEATURES))
+    y, fold = np.array([r.toxic for r in rows], float), np.array([r.fold for r in rows], np.int64)
+    trees = fit_trees(x[:, folds], y)
     if len(set(y.tolist())) < 2:
-        return Model(learned, trees, np.zeros(0), np.zeros(0))
-    fold, raw = np.arange(len(y)) % folds, np.zeros(len(y))
+        return Model(lexicons[folds], trees, np.zeros(0), np.zeros(0))
+    raw = np.zeros(len(y))
     for k in range(folds):
-        raw[fold == k] = fit_trees(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return Model(learned, trees, *isotonic(raw, y))
+        raw[fold == k] = fit_trees(x[fold != k, k], y[fold != k]).raw(x[fold == k, k])
+    return Model(lexicons[folds], trees, *isotonic(raw, y))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs``, with score (0 to 1) and predicted (1 at THRESHOLD or more) added; one row for each, no shuffle.
 
-    Null and empty texts get the score of a text without any feature. Columns named score or predicted are replaced.
+    Null and empty texts get the score of a text without any feature; a very long one is read in stretches. Null and repeated
+    keys don't matter, equal texts get equal scores, an empty table gives none. Columns named score or predicted are replaced.
     """
     docs = docs.drop("score", "predicted")
     names, heads = docs.columns, lexicon_heads(model.learned)
