@@ -71,3 +71,19 @@ def test_stage_wants_similarity_not_bits(spark):
             break
     docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate([a, b, c, d])], "doc_id long, text string, lang string, source string, n_chars long")
     assert {x.doc_id for x in corpus_pipeline.near_copy_stage(spark, docs, "").collect()} == {0, 2, 3}
+
+
+def test_a_group_is_not_expanded_into_all_pairs(spark):
+    r = random.Random(2)
+    base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+    texts = [" ".join([*base[:k], f"v{i}", *base[k + 1 :]]) for i in range(600) for k in [r.randrange(60)]]
+    counts = []
+    for n in (300, 600):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:n])], "key long, text string").repartition(3)
+        nodes = docs.mapInArrow(nearcopies._sets(5, 42), "key long, sig long, fp long, w0 long, w1 long, w2 long, n int, head array<long>").drop("key").distinct().cache()
+        rows = nearcopies.bucket_rows(nodes, n).withColumn("group", nearcopies.F.col("sig"))
+        found = nearcopies._searched(rows, nearcopies._stars, nearcopies.RADIUS, "bucket long, sig long, other long, prev long, fp long, n int")
+        counts.append((found.count(), nearcopies.candidates(nodes, nearcopies.RADIUS, n).count()))
+    (few, all_), (more, pairs) = counts
+    assert more < 2.5 * few and pairs > 3.5 * all_ and more < pairs / 8
+    assert {x.component_id for x in nearcopies.near_copy_groups(docs, key="key").collect()} == {0}

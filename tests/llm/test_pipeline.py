@@ -32,16 +32,27 @@ def make(spark, tmp):
 
 
 def near_copies(rows):
-    fp = {i: simhash.fingerprint(t, 5) for i, t, *_ in rows}
-    low = {i: i for i in fp}
-    changed = True
-    while changed:
-        changed = False
-        for a in fp:
-            for b in fp:
-                if (fp[a] ^ fp[b]).bit_count() <= 6 and low[a] < low[b]:
-                    low[b], changed = low[a], True
-    return [x for x in rows if low[x[0]] == x[0] or not fp[x[0]]]
+    """One row of each component of texts at a Jaccard similarity of 0.8, by all pairs."""
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for _, t, *_ in rows]
+    group = list(range(len(rows)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                group[top(a)] = top(b)
+    best = {}
+    for i, x in enumerate(rows):
+        if sets[i]:
+            own = (x[0] is None, x[0] or 0)
+            if top(i) not in best or own < best[top(i)][0]:
+                best[top(i)] = (own, i)
+    stay = {i for _, i in best.values()}
+    return [x for i, x in enumerate(rows) if not sets[i] or i in stay]
 
 
 def cut(rows):
@@ -92,7 +103,44 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {i for i, t, *_ in docs if not (t or "").split()} <= {x[0] for x in rows}  # clean, if empty
     own = bpe.encoder(bpe.vocabulary())
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert got == {i: len(own.plain([t or ""])[0]) for i, t, *_ in rows}
+    assert got == {i: len(own.encode([t or ""])[0]) for i, t, *_ in rows}
+
+
+def stage(spark, tmp, name, rows, schema="doc_id long, text string, lang string, source string, n_chars long"):
+    spark.createDataFrame([(1, "some benchmark item of quite a few words here")], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{tmp}/labels.parquet")
+    spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp}/{name[:5]}")
+    return sorted(map(tuple, dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{tmp}/{name[:5]}"), str(tmp)).collect()), key=str)
+
+
+def rest(t):
+    return (t, "en", "s", len(t or ""))
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    bad, good = "before some benchmark item of quite a few words here after", "nothing of that kind is in this one"
+    rows = [(None, *rest(bad)), (9, *rest(bad)), (9, *rest(good)), (None, *rest(None)), (3, *rest(""))]
+    assert stage(spark, tmp_path, "benchmark decontamination", rows) == sorted(rows[2:], key=str)
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, *rest(one)), (1, *rest(one)), (5, *rest(one)), (5, *rest(two)), (None, *rest(one)), (None, *rest(three)), (None, *rest(three)), (7, *rest(" ")), (7, *rest(" ")), (None, *rest(None))]
+    assert stage(spark, tmp_path, "simhash near-dedup", rows) == sorted([rows[0], rows[3], rows[5], *rows[7:]], key=str)
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(2, *rest(long)), (2, *rest(long)), (None, *rest(long)), (4, *rest(long + " tail"))]
+    assert stage(spark, tmp_path, "substring dedup", rows) == sorted([*rows[:3], (4, "tail", "en", "s", 4)], key=str)
+    assert len(stage(spark, tmp_path, "toxicity", rows)) == 4 == len(stage(spark, tmp_path, "bpe encoding and decoding", rows))
+
+
+def test_empty_tables_long_texts_and_further_columns(spark, tmp_path):
+    wide = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, n_words int, predicted int, component_id long"
+    more = ("r", "k", 1, 1, 1)
+    long = "ab cd " * 300_000
+    for name, _ in corpus_pipeline.STAGES:
+        assert stage(spark, tmp_path, name, [], wide) == []
+        got = stage(spark, tmp_path, name, [(1, *rest(long), *more), (2, *rest("x y"), *more)], wide)
+        if name.startswith("bpe"):
+            assert [(x[0], x[1]) for x in got] == [(1, 600_001), (2, 2)]
+        else:
+            assert got == [(1, *rest(long)), (2, *rest("x y"))]
 
 
 def test_names():
