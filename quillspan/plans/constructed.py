@@ -12,6 +12,7 @@ from quillspan.functions import parse
 from quillspan.functions import similarity as S
 from quillspan.functions import text as T
 from quillspan.operators import anomaly, compliance, duplicates, features, payments, rowquality, serve, trends
+from quillspan.plans import dataset
 from quillspan.plans.catalogue import AS_OF, FEAT, PAY, SCORED, WORKS, by_work, feature_rows, paid_rows, query, scored, table, works
 from quillspan.plans.contracts import SOURCES
 
@@ -235,3 +236,32 @@ def number_dates(spark, d):
 def state_medians(spark, d):
     rows = feature_rows(spark, d)
     return rows.groupBy("state").agg(F.max("peer_count_by_state").alias("works"), F.max("peer_median_sanction_amount_by_state").alias("median_amount"))
+
+
+def raw_sources(spark, d: str) -> dict[str, DataFrame]:
+    """Orders and line items as the text cells of four raw sources: the whole build's input."""
+    o = table(spark, d, "orders")
+    year, day = F.year("o_orderdate"), lambda n: F.date_format(F.date_add(F.to_date("o_orderdate"), n), "dd-MMM-yyyy")
+    key = F.concat(F.lit("MP/MP"), F.col("o_custkey"), F.lit("/"), year, F.lit("-"), year + 1, F.lit("/"), F.col("o_orderkey"))
+    money = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    place = {"work_category": F.col("o_orderpriority"), "state": F.lit("Goa"), "ida": F.lit("Office"), "mp_name": F.lit("Shri A"), "constituency": F.lit("North"), "work_description": F.lit("a road"), "work": F.concat(key, F.lit(" - Road"))}
+    row = F.col("o_orderkey").cast("int").alias("source_row")
+    make = lambda rows, **own: rows.select(row, *[v.alias(c) for c, v in (place | own).items()])
+    items = table(spark, d, "lineitem").join(o.select("o_orderkey", key.alias("work_id")), F.col("l_orderkey") == F.col("o_orderkey"))
+    cells = {"state": F.lit("Goa"), "ida": F.lit("Office"), "mp_name": F.lit("Shri A"), "constituency": F.lit("North"), "work": F.lit("a road"), "vendor_name": F.concat(F.lit("V "), F.col("l_suppkey")), "payment_status": F.when(F.col("l_returnflag") == "R", "Payment Success").otherwise("Payment In-Progress"), "work_id": F.col("work_id"), "expenditure_date": F.date_format("l_shipdate", "dd-MMM-yyyy"), "fund_disbursed_amount": F.col("l_extendedprice").cast("decimal(18,2)").cast("string")}
+    paid = items.select((F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey") % 1_000_000_000).cast("int").alias("source_row"), *[v.alias(c) for c, v in cells.items()])
+    return {
+        "recommended": make(o, recommended_date=day(-30), recommended_amount=money, sanction_date=day(0)),
+        "sanctioned": make(o.where("o_orderstatus <> 'O'"), recommended_date=day(-30), sanction_date=day(1), sanction_amount=money, work_status=F.lit("Sanctioned")),
+        "completed": make(o.where("o_orderstatus = 'F'"), completion_date=day(60), completed_amount_disbursed=money),
+        "expenditure": paid,
+    }
+
+
+@query("""SELECT 'MP/MP' || o_custkey || '/' || year(o_orderdate) || '-' || (year(o_orderdate) + 1) || '/' || o_orderkey AS work_id, o_totalprice::DECIMAL(18,2)::DOUBLE AS recommended_amount, CASE WHEN o_orderstatus <> 'O' THEN o_totalprice::DECIMAL(18,2)::DOUBLE END AS sanction_amount,
+(o_orderdate::DATE + CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END)::DATE AS sanction_date, CASE WHEN o_orderstatus = 'F' THEN (o_orderdate::DATE + 60)::DATE END AS completion_date, o_orderstatus <> 'O' AS in_sanctioned, o_orderstatus = 'F' AS in_completed,
+CASE WHEN o_orderstatus = 'O' THEN '' ELSE 'sanction_date' END AS conflict_fields FROM orders""")
+def built_master(spark, d):
+    """The whole build, of which the master is returned."""
+    out = dataset.build(raw_sources(spark, d))
+    return out["works_master"].select("work_id", *[F.col(c).cast("double").alias(c) for c in ("recommended_amount", "sanction_amount")], "sanction_date", "completion_date", "in_sanctioned", "in_completed", "conflict_fields")
