@@ -80,7 +80,7 @@ def test_a_group_is_not_expanded_into_all_pairs(spark):
     counts = []
     for n in (300, 600):
         docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:n])], "key long, text string").repartition(3)
-        nodes = docs.mapInArrow(nearcopies._sets(5, 42), "key long, sig long, fp long, w0 long, w1 long, w2 long, n int, head array<long>").drop("key").distinct().cache()
+        nodes = docs.mapInArrow(nearcopies._sets(5, 42), "key long, sig long, fp long, n int, head array<long>").drop("key").distinct().cache()
         rows = nearcopies.bucket_rows(nodes, n).withColumn("group", nearcopies.F.col("sig"))
         found = nearcopies._searched(rows, nearcopies._stars, nearcopies.RADIUS, "bucket long, sig long, other long, prev long, fp long, n int")
         counts.append((found.count(), nearcopies.candidates(nodes, nearcopies.RADIUS, n).count()))
