@@ -566,7 +566,7 @@ def duplicate_candidates(spark, d):
     return duplicates.candidate_pairs(parts(spark, d))
 
 
-@query(f"WITH {PAIRS} SELECT id_a, id_b, round(2.0::DOUBLE * len(list_intersect(a.tri, b.tri)) / (len(a.tri) + len(b.tri)), 6) AS dice, round(len(list_intersect(a.core, b.core))::DOUBLE / nullif(len(a.core) + len(b.core) - len(list_intersect(a.core, b.core)), 0), 6) AS jaccard FROM cand JOIN prep a ON a.id = id_a JOIN prep b ON b.id = id_b")
+@query(f"WITH {PAIRS} SELECT id_a, id_b, round(coalesce(2.0::DOUBLE * len(list_intersect(a.tri, b.tri)) / nullif(len(a.tri) + len(b.tri), 0), 0), 6) AS dice, round(coalesce(len(list_intersect(a.core, b.core))::DOUBLE / nullif(len(a.core) + len(b.core) - len(list_intersect(a.core, b.core)), 0), 0), 6) AS jaccard FROM cand JOIN prep a ON a.id = id_a JOIN prep b ON b.id = id_b")
 def trigram_similarity(spark, d):
     """Of every candidate pair: trigrams by Dice, core tokens by Jaccard."""
     p = duplicates.scratch(parts(spark, d), "parts")
