@@ -1,9 +1,11 @@
-"""Groups of documents whose shingle sets have a Jaccard similarity of 0.8 or more.
-
-Two such sets share one of the smallest fifth (and one more) of each one's hashed shingles (prefix filter), so sets meet in buckets
-of those. In a bucket, pairs of unlike sizes or with SimHash fingerprints further apart than a wide radius are discarded, and then
-those whose wide fingerprints, of three more words of bits, are; what is left is verified by the shingles themselves, and only
-verified pairs are links.
+"""Groups of documents whose shingle sets have a Jaccard similarity of 0.8 or more, by SimHash with pivot distance tables.
+
+Of two such sets one of the first fifth (and one more) of each one's shingles is in both, in any order of all shingles (prefix filter),
+so sets meet in buckets of those. The order puts shingles that are frequent in a sample last: it changes what meets by chance, not
+what is found. In a bucket sets stand in order of their fingerprint's distance to a first pivot; pivot distances, the
+fingerprint's own bits at a wide radius, the sizes and a wide fingerprint of three more words discard. What is left forms
+families, as stars. A family's sets meet in one task (a large family's in tiles, every two of which meet), where exact
+counts of common shingles tell which are at 0.8: pairs are never rows.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.memory import parts, releasing
-from quillspan.llm.simhash import TILE, fold_hashes, shingle_hashes
+from quillspan.llm.simhash import TILE, fold_hashes, link_bucket, pivot_table, shingle_hashes, with_pivot_table
 from quillspan.operators.components import connected_components
 from quillspan.session import drop_scratch, scratch
 
@@ -28,6 +30,12 @@ WIDE_RADIUS = 64
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Runs up to this length are searched together.
 SHORT_RUN = 48
+#: Runs up to this length give their pairs as they are, three for a set at most; longer ones give stars.
+PAIR_RUN = 4
+#: Rows whose shingles are counted, about, and the share of them from which on a shingle is frequent.
+SAMPLE, FREQUENT = 4000, 0.002
+#: Shingles of a family's tile; a larger family is split.
+TILE_SHINGLES = 1 << 20
 #: Candidates of a set in a bucket that are verified first; what they join needs no other link.
 FIRST = 1
 SET_COLUMNS = ["key", "sig", "fp", "n", "head"]
@@ -44,13 +52,21 @@ def wide_fingerprint(found: np.ndarray) -> list[int]:
     return [fold_hashes(x ^ (x >> np.uint64(32))) for x in (((found ^ (found >> np.uint64(29))) * np.uint64(m)).astype("<u8") for m in MIX)]
 
 
-def _sets(shingle: int, seed: int):
-    """For each text with words: its set's hash, its fingerprint, its size and the smallest of its hashed shingles."""
+def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(known, values)
+    return known[np.minimum(at, len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _sets(shingle: int, seed: int, frequent: np.ndarray | None = None):
+    """For each text with words: its set's hash, its fingerprint, its size and the first of its hashed shingles.
+
+    They are in order of their hashes; with ``frequent`` (sorted hashes), those come last, and the wide fingerprint is given too.
+    """
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
-            rows, sigs, fps, sizes, heads = [], [], [], [], []
+            rows, sigs, fps, sizes, heads, wide = [], [], [], [], [], []
             for i, text in enumerate(part.column("text").to_pylist()):
                 found = shingle_hashes(text, shingle, seed)
                 if not len(found):
@@ -58,34 +74,168 @@ def _sets(shingle: int, seed: int):
                 own = np.unique(found)
                 rows.append(i)
                 sigs.append(xxh64_intdigest(own.tobytes(), seed))
-                fps.append(fold_hashes(found))
+                fps.append(fold_hashes(own))  # of the set, as that is what is compared
                 sizes.append(len(own))
-                heads.append(own[: prefix_length(len(own))].view(np.int64))
+                head = own
+                if frequent is not None:
+                    wide.append(wide_fingerprint(own))
+                    last = _in_sorted(own, frequent)
+                    head = np.concatenate([own[~last], own[last]])
+                heads.append(head[: prefix_length(len(own))].view(np.int64))
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
             head = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             keys = part.column("key").take(pa.array(rows, pa.int32()))
-            yield pa.RecordBatch.from_arrays([keys, long(sigs), long(fps), pa.array(sizes, pa.int32()), head], SET_COLUMNS)
+            columns, names = [keys, long(sigs), long(fps), pa.array(sizes, pa.int32()), head], SET_COLUMNS
+            if frequent is not None:
+                words = np.array(wide, np.uint64).reshape(-1, 3)
+                columns, names = [*columns, *(long(words[:, k].copy()) for k in range(3))], [*names, *WIDE_COLUMNS]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
 def _whole_sets(shingle: int, seed: int):
-    """For each text with words: its set's hash, its wide fingerprint and all its hashed shingles."""
+    """For each text with words: its set's hash and all its hashed shingles."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
-            every = [x for x in (shingle_hashes(t, shingle, seed) for t in part.column("text").to_pylist()) if len(x)]
-            wide = np.array([wide_fingerprint(x) for x in every], np.uint64).reshape(-1, 3).view(np.int64)
-            found = [np.unique(x) for x in every]
+            found = [np.unique(x) for x in (shingle_hashes(t, shingle, seed) for t in part.column("text").to_pylist()) if len(x)]
             sigs = np.array([xxh64_intdigest(x.tobytes(), seed) for x in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sigs), *(pa.array(wide[:, k].copy()) for k in range(3)), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["sig", *WIDE_COLUMNS, "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["sig", "hashes"])
 
     return run
 
 
+def frequent_shingles(plain: DataFrame, shingle: int, seed: int) -> np.ndarray:
+    """Sorted hashes of the shingles that a share FREQUENT of a sample's rows have. Any list gives the same groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_sets(shingle, seed)(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("hashes").flatten()], ["h"])
+
+    some = plain.where(F.pmod(F.xxhash64("key"), F.lit(max(1, plain.count() // SAMPLE))) == 0).limit(2 * SAMPLE)
+    counts = some.mapInArrow(releasing(run), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") >= max(2, int(SAMPLE * FREQUENT))).select("h").toArrow().column("h")
+    return np.sort(found.to_numpy().view(np.uint64))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: those of buckets of two or more, with the bucket's size."""
+
+    def search(keys: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.repeat(np.diff(np.append(start, len(keys))), np.diff(np.append(start, len(keys))))
+        more = size > 1
+        return pa.RecordBatch.from_arrays([pa.array(keys[more]), pa.array(sigs[more]), pa.array(size[more])], ["bucket", "sig", "size"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column("bucket").to_numpy(), batch.column("sig").to_numpy()))
+        n += batch.num_rows
+        if n < 50_000 or not batch.num_rows or held[0][0][0] == held[-1][0][-1]:
+            continue
+        keys, sigs = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        last = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on
+        yield search(keys[:last], sigs[:last])
+        held, n = [(keys[last:].copy(), sigs[last:].copy())], len(keys) - last
+    if n:
+        yield search(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
+
+
+def _family_links(t: dict[str, np.ndarray], radius: int) -> pa.RecordBatch:
+    """Links (a, b) that join all sets of a bucket that may be at 0.8, directly or by others: stars, but for short runs."""
+    fps, sig, n = t["fp"].view(np.uint64), t["sig"], t["n"]
+    table = pivot_table(t["near"], t["far"])
+
+    def alike(i, j):
+        ok = (5 * n[i] >= 4 * n[j]) & (5 * n[j] >= 4 * n[i])
+        apart = sum(np.bitwise_count((t[w][i] ^ t[w][j]).view(np.uint64)).astype(np.int16) for w in WIDE_COLUMNS)
+        return ok & (apart <= WIDE_RADIUS)
+
+    keys, out = t["bucket"], []
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    length = np.diff(np.append(start, len(keys)))
+    at = np.flatnonzero(np.repeat((length > 1) & (length <= PAIR_RUN), length))
+    for step in range(1, PAIR_RUN):
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        i = at
+        for row in table:
+            i = i[np.abs(row[i] - row[i + step]) <= radius]
+        i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= radius]
+        i = i[alike(i, i + step)]
+        out.append(np.stack([sig[i], sig[i + step]], axis=1))
+    for r in np.flatnonzero(length > PAIR_RUN).tolist():
+        first = int(start[r])
+        own = slice(first, first + int(length[r]))
+        stars = link_bucket(fps[own], table[:, own], radius, lambda near, i: alike(near + first, np.full(len(near), i + first)))
+        if stars:
+            out.append(sig[own][np.array(stars)])
+    both = np.concatenate(out)
+    both = np.unique(np.sort(both, axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+
+def exact_stars(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A star (member, root) for each group of sets that 0.8 joins: common shingles are counted over an index of the sets."""
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(flat)))
+    number = np.empty(len(flat), np.int64)
+    number[order] = np.cumsum(new) - 1
+    posted = owner[order]
+    left, stars = np.arange(len(sets)), []
+    while len(left) > 1:
+        root, left = int(left[0]), left[1:]
+        todo = [root]
+        while todo and len(left):
+            i = todo.pop()
+            own = number[ends[i] - sizes[i] : ends[i]]
+            own = own[times[own] > 1]
+            many = times[own]
+            places = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            common = np.bincount(posted[places], minlength=len(sets))
+            ok = 9 * common[left] >= 4 * (sizes[left] + sizes[i])
+            near, left = left[ok].tolist(), left[~ok]
+            stars += [(j, root) for j in near]
+            todo += near
+    return stars
+
+
+def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (family, sig, hashes) sorted by family: the stars (a, b) of each."""
+    now, sigs, sets, out = None, [], [], []
+
+    def done() -> None:
+        if len(sets) > 1:
+            out.extend((sigs[i], sigs[j]) for i, j in exact_stars(sets))
+
+    def links() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        hashes = batch.column("hashes")
+        for i, (family, sig) in enumerate(zip(batch.column("family").to_pylist(), batch.column("sig").to_pylist())):
+            if family != now:
+                done()
+                now, sigs, sets = family, [], []
+            sigs.append(sig)
+            sets.append(hashes[i].values.to_numpy().copy())
+        if len(out) > 50_000:
+            yield links()
+            out.clear()
+    done()
+    yield links()
+
+
 def _close_pairs(t: dict[str, np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, places) of pairs in the same bucket that may be at 0.8, the later ones all different in each step.
 
@@ -203,12 +353,27 @@ def candidates(nodes: DataFrame, radius: int, count: int, tile: int = TILE) -> D
     return _searched(rows, _all_pairs, radius, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of 0.8 or more, in whole numbers."""
-    one, two = sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+def tiled(rows: DataFrame, bucket: str, tiles, member: str) -> DataFrame:
+    """``rows`` whose ``bucket`` is split into as many ``tiles``, every two of which meet in a bucket of their own."""
+    columns = [c for c in rows.columns if c != bucket]
+    split = rows.withColumn("tiles", tiles)
+    few = split.where("tiles <= 1").select(bucket, *columns)
+    split = split.where("tiles > 1").withColumn("t", F.pmod(F.xxhash64(member), F.col("tiles")))
+    split = split.withColumn("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    return few.unionByName(split.select(F.xxhash64(bucket, F.least("t", "u"), F.greatest("t", "u")).alias(bucket), *columns))
+
+
+def families(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """(node, component): sets that meet in a bucket and that nothing discards, joined. ``nodes``: (sig, fp, n, head, w0, w1, w2), sig distinct."""
+    met = nodes.select(F.explode("head").alias("bucket"), "sig").repartition("bucket").sortWithinPartitions("bucket")
+    met = scratch(met.mapInArrow(releasing(_shared), "bucket long, sig long, size long"), "met")
+    fps = scratch(with_pivot_table(nodes.select("sig", "fp", "n", *WIDE_COLUMNS)), "pivots")
+    rows = tiled(met.join(fps, "sig"), "bucket", F.ceil(F.col("size") / tile), "sig").drop("size")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", F.col("near").bitwiseAND(F.lit(255)), "sig")
+    links = rows.mapInArrow(releasing(_by_bucket(_family_links, radius, rows.columns)), "a long, b long")
+    links = scratch(links.distinct(), "links")
+    drop_scratch(met)
+    return connected_components(links)
 
 
 def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = RADIUS, seed: int = 42) -> DataFrame:
@@ -216,41 +381,31 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", s
 
     Words as in ``simhash_groups``. Two texts link if the Jaccard similarity of their sets of ``shingle`` words is 0.8 or more
     (a shorter text is one shingle) and their fingerprints differ in ``radius`` and WIDE_RADIUS bits at most; 64-bit hashes stand for shingles.
-    Texts of equal sets are one node, so copies are never paired. Each set is first held against FIRST candidates of each of its
-    buckets, and the links found form groups; then all candidates between different groups of a bucket are verified. So a group
-    of near copies of any size gives a few pairs for each member, not all of them, and no link between groups is lost.
+    Texts of equal sets are one node, so copies are never paired. Links are stars, of buckets and of families, so a group of
+    any size gives a few for each member, whether its members are near copies or only nearly so.
 
     Null and empty texts have no row; repeated keys and equal rows have a row each; the key may be of any type that has an
     order, and must not be null. Very long texts are read in stretches. An empty table gives none; other columns aren't read.
     """
     kind = docs.schema[key].dataType.simpleString()
     plain = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    rows = scratch(plain.mapInArrow(releasing(_sets(shingle, seed)), f"key {kind}, sig long, fp long, n int, head array<long>"), "sets")
-    nodes = rows.groupBy("sig").agg(F.min("key").alias("low"), *(F.first(c).alias(c) for c in SET_COLUMNS[2:]))
+    frequent = frequent_shingles(plain, shingle, seed)
+    rows = scratch(plain.mapInArrow(releasing(_sets(shingle, seed, frequent)), f"key {kind}, sig long, fp long, n int, head array<long>, w0 long, w1 long, w2 long"), "sets")
+    nodes = rows.groupBy("sig").agg(F.min("key").alias("low"), *(F.first(c).alias(c) for c in [*SET_COLUMNS[2:], *WIDE_COLUMNS]))
     nodes, keys = scratch(nodes, "nodes"), scratch(rows.select("key", "sig"), "keys")
     drop_scratch(rows)
-    count = nodes.count()
-    rows = bucket_rows(nodes, count).withColumn("group", F.col("sig"))
-    found = scratch(_searched(rows, _stars, radius, "bucket long, sig long, other long, prev long, fp long, n int"), "found")
-    members = found.where("other is null").drop("other")
-    lows = scratch(members.select("sig").distinct().join(nodes, "sig").select(F.col("low").alias("key")).distinct(), "lows")
-    sets = plain.join(lows, "key", "left_semi").mapInArrow(releasing(_whole_sets(shingle, seed)), "sig long, w0 long, w1 long, w2 long, hashes array<long>")
-    sets = scratch(sets.dropDuplicates(["sig"]), "hashes")
-    wide = sets.select("sig", *WIDE_COLUMNS)
-    first = found.where("other is not null").select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
-    for end in "ab":
-        first = first.join(wide.select(F.col("sig").alias(end), *(F.col(w).alias(end + w) for w in WIDE_COLUMNS)), end)
-    apart = sum(F.bit_count(F.col("a" + w).bitwiseXOR(F.col("b" + w))) for w in WIDE_COLUMNS)
-    joined = scratch(connected_components(verified(first.where(apart <= WIDE_RADIUS), sets)), "joined")
-    # What is in one group needs no other link; buckets that hold several groups are searched for all pairs between them.
-    members = members.join(joined.withColumnRenamed("node", "sig"), "sig", "left").withColumn("group", F.coalesce("component", "sig")).drop("component")
-    members = scratch(members, "members")
-    mixed = members.groupBy("bucket").agg(F.min("group").alias("one"), F.max("group").alias("two")).where("one < two").select("bucket")
-    members = members.join(mixed, "bucket", "left_semi").join(wide, "sig")
-    rest = scratch(_searched(members, _all_pairs, radius, "a long, b long").distinct(), "rest")
-    links = verified(rest, sets).unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    lows = scratch(nodes.select("sig", "low", "n"), "lows")
+    joined = scratch(families(nodes, radius).withColumnsRenamed({"node": "sig", "component": "family"}), "families")
+    drop_scratch(nodes)
+    # Whole sets are made again for what has a family.
+    total = scratch(joined.join(lows, "sig").groupBy("family").agg(F.sum("n").alias("total")), "total")
+    some = scratch(joined.join(lows, "sig").select(F.col("low").alias("key")).distinct(), "some")
+    sets = plain.join(some, "key", "left_semi").mapInArrow(releasing(_whole_sets(shingle, seed)), "sig long, hashes array<long>").dropDuplicates(["sig"])
+    members = tiled(joined.join(total, "family"), "family", F.ceil(F.col("total") / TILE_SHINGLES), "sig").drop("total")
+    meet = members.join(sets, "sig").repartition("family").sortWithinPartitions("family", "sig")
+    links = meet.select("family", "sig", "hashes").mapInArrow(releasing(_exact_links), "a long, b long")
     groups = connected_components(links)
-    groups = nodes.select("sig", "low").join(groups, nodes["sig"] == groups["node"], "left").select("sig", F.coalesce("component", "sig").alias("root"), "low")
+    groups = lows.join(groups, lows["sig"] == groups["node"], "left").select("sig", F.coalesce("component", "sig").alias("root"), "low")
     groups = scratch(groups, "groups")
     least = scratch(groups.groupBy("root").agg(F.min("low").alias("component_id")), "least")
     ids = groups.join(least, "root").select("sig", "component_id")

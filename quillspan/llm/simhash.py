@@ -118,10 +118,11 @@ def pivot_table(near: np.ndarray, far: np.ndarray) -> np.ndarray:
     return np.concatenate([near.astype("<i8").view(np.int8).reshape(-1, 8), far.astype("<i8").view(np.int8).reshape(-1, 8)], axis=1).T.copy()
 
 
-def link_bucket(fps: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def link_bucket(fps: np.ndarray, table: np.ndarray, radius: int, also=None) -> list[tuple[int, int]]:
     """A star (member, root) for each group of linked fingerprints; the search goes on from each find among those not yet found.
 
-    They stand in order of their first coordinate, so those that may be near are a run of what is left.
+    They stand in order of their first coordinate, so those that may be near are a run of what is left. ``also`` (places, place)
+    tells which of the places within ``radius`` of the place link; all do without it.
     """
     left, stars = np.arange(len(fps)), []
     while len(left):
@@ -137,6 +138,8 @@ def link_bucket(fps: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[i
                     break
             if len(near):
                 near = near[np.bitwise_count(fps[near] ^ fps[i]) <= radius]
+            if len(near) and also:
+                near = near[also(near, i)]
             if len(near):
                 stars += [(int(j), root) for j in near]
                 todo += near.tolist()

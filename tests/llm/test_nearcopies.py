@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from quillspan.llm import nearcopies, simhash
 
@@ -87,3 +89,44 @@ def test_a_group_is_not_expanded_into_all_pairs(spark):
     (few, all_), (more, pairs) = counts
     assert more < 2.5 * few and pairs > 3.5 * all_ and more < pairs / 8
     assert {x.component_id for x in nearcopies.near_copy_groups(docs, key="key").collect()} == {0}
+
+
+def test_a_family_just_below_gives_no_pairs(spark):
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    counts = []
+    for n in (150, 300):  # three places differ: most pairs are below 0.8, and all in one family
+        rows = []
+        for i in range(n):
+            gone = set(r.sample(range(100), 3))
+            rows.append((i, " ".join(f"v{i}" if k in gone else w for k, w in enumerate(base))))
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        kind = "key long, sig long, fp long, n int, head array<long>, w0 long, w1 long, w2 long"
+        nodes = docs.withColumnRenamed("doc_id", "key").mapInArrow(nearcopies._sets(5, 42, np.zeros(0, np.uint64)), kind).cache()
+        family = nearcopies.families(nodes, nearcopies.RADIUS)
+        assert family.select("component").distinct().count() == 1 and family.count() == n
+        counts.append(nearcopies.candidates(nodes.select("sig", "fp", "n", "head"), nearcopies.RADIUS, n).count())
+        assert sorted(x.component_id for x in nearcopies.near_copy_groups(docs).collect()) == brute(rows)
+    assert counts[1] > 3.5 * counts[0]
+
+
+def brute(rows):
+    sets, low = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    for _ in rows:
+        before = dict(low)
+        for a in sets:
+            for b in sets:
+                if a < b and low[a] != low[b] and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                    low[a] = low[b] = min(low[a], low[b])
+        if low == before:
+            break
+    return sorted(low.values())
+
+
+def test_tiles_and_the_order_of_shingles_lose_no_link(spark, monkeypatch):
+    rows = list(enumerate(texts()[:200]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole = sorted(map(tuple, nearcopies.near_copy_groups(docs).collect()))
+    monkeypatch.setattr(nearcopies, "TILE_SHINGLES", 300)
+    monkeypatch.setattr(nearcopies, "SAMPLE", 40)  # with it, nearly every repeated shingle is frequent
+    assert sorted(map(tuple, nearcopies.near_copy_groups(docs).collect())) == whole
