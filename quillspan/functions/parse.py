@@ -5,6 +5,8 @@ A parsed cell is a struct: value, status ('ok', 'missing' or 'invalid') and note
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,17 @@ def _note(text: str) -> Column:
     return F.array(F.lit(text))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a variable that is computed once, however often it is used; a plain Column would be computed for each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def is_amount(text: Column) -> Column:
+    """Whether ``parse_amount`` finds an amount. Cells without a digit, or with a sign that no amount has, aren't parsed."""
+    may = text.rlike("[0-9]") & ~text.rlike("[A-DF-HJ-MO-QT-Za-df-hj-mo-qt-z/:;#]")
+    return F.when(may, parse_amount(text)["status"] == "ok").otherwise(False)
+
+
 def parse_amount(text: Column) -> Column:
     """An amount in plain, Western or Indian grouping, with a currency sign or in accountants' brackets.
 
@@ -44,14 +57,25 @@ def parse_amount(text: Column) -> Column:
     """
     bare = F.trim(F.translate(text, ZERO_WIDTH, ""))
     bare = F.regexp_replace(bare, f"^{SPACE}+|{SPACE}+$", "")
-    signless = F.trim(F.regexp_replace(bare, CURRENCY, ""))
+    return _let(bare, lambda x: _let(F.trim(F.regexp_replace(x, CURRENCY, "")), lambda y: _amount(x, y)))
+
+
+def _amount(bare: Column, signless: Column) -> Column:
     bracket = signless.rlike(r"^\(.*\)$")
     inner = F.when(bracket, F.trim(F.regexp_replace(signless, r"^\((.*)\)$", "$1"))).otherwise(signless)
-    plain, grouped = inner.rlike(PLAIN), inner.rlike(WESTERN) | inner.rlike(INDIAN)
-    digits = F.when(plain, inner).when(grouped, F.replace(inner, F.lit(","), F.lit("")))
+    shapes = lambda x: F.struct(x.alias("inner"), x.rlike(PLAIN).alias("plain"), (x.rlike(WESTERN) | x.rlike(INDIAN)).alias("grouped"))
+    digits = lambda k: F.when(k["plain"], k["inner"]).when(k["grouped"], F.replace(k["inner"], F.lit(","), F.lit("")))
+    return _let(inner, lambda x: _let(shapes(x), lambda k: _let(digits(k), lambda d: _let(_size(d), lambda m: _judged(bare, signless, bracket, k, d, m)))))
+
+
+def _size(digits: Column) -> Column:
     mantissa, power = F.regexp_extract(digits, r"^([^eE]*)", 1), F.coalesce(F.nullif(F.regexp_extract(digits, r"[eE]([+-]?[0-9]+)$", 1), F.lit("")).try_cast("int"), F.lit(0))
     places = F.greatest(F.lit(0), F.char_length(F.regexp_extract(mantissa, r"\.([0-9]*)$", 1)) - power)
-    size = F.abs(digits.try_cast("double"))
+    return F.struct(places.alias("places"), F.abs(digits.try_cast("double")).alias("size"))
+
+
+def _judged(bare: Column, signless: Column, bracket: Column, shape: Column, digits: Column, measure: Column) -> Column:
+    plain, grouped, places, size = shape["plain"], shape["grouped"], measure["places"], measure["size"]
     value = digits.try_cast(AMOUNT)
     value = F.when(bracket, -value).otherwise(value)
     missing, placeholder = F.coalesce(bare, F.lit("")) == "", F.lower(bare).isin(MISSING)
@@ -84,21 +108,30 @@ def _day(year: Column, month: Column, day: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """DD-Mon-YYYY, other texts with a month's name, ISO with or without a time, or day-first numbers."""
-    clean = collapse(text)
+    return _let(collapse(text), lambda x: _let(F.struct(*[x.rlike(p).alias(n) for n, p in (("dmy", DMY_TEXT), ("iso", ISO), ("number", DMY_NUMBER), ("mdy", MDY_TEXT))]), lambda k: _dated(x, k)))
+
+
+def _dated(clean: Column, shape: Column) -> Column:
     low = F.lower(clean)
     part = lambda pattern, i: F.regexp_extract(clean, pattern, i)
     missing, placeholder = F.coalesce(clean, F.lit("")) == "", low.isin(MISSING)
-    dmy, iso, number, mdy = (clean.rlike(p) for p in (DMY_TEXT, ISO, DMY_NUMBER, MDY_TEXT))
-    dmy_month, mdy_month = _month(part(DMY_TEXT, 2)), _month(part(MDY_TEXT, 1))
-    value = F.when(dmy, _day(part(DMY_TEXT, 3), dmy_month, part(DMY_TEXT, 1))).when(iso, _day(part(ISO, 1), part(ISO, 2), part(ISO, 3)))
-    value = value.when(number, _day(part(DMY_NUMBER, 4), part(DMY_NUMBER, 3), part(DMY_NUMBER, 1))).when(mdy, _day(part(MDY_TEXT, 3), mdy_month, part(MDY_TEXT, 2)))
-    status = F.when(missing | placeholder, "missing").when(value.isNotNull(), "ok").otherwise("invalid")
-    none = F.array().cast("array<string>")
-    notes = F.when(missing, none).when(placeholder, _note("placeholder"))
-    notes = notes.when(dmy & dmy_month.isNull() | ~dmy & ~iso & ~number & mdy & mdy_month.isNull(), _note("unknown_month_name"))
-    notes = notes.when(~(dmy | iso | number | mdy), _note("unrecognised_format")).when(value.isNull(), _note("impossible_calendar_date"))
-    notes = notes.when(clean.rlike(STANDARD_DATE), none).when(~dmy & ~iso & number, F.array(F.lit("alt_format"), F.lit("numeric_day_first_assumed"))).otherwise(_note("alt_format"))
-    return _parsed(F.when(~(missing | placeholder), value), status, notes)
+    dmy, iso, number, mdy = (shape[n] for n in ("dmy", "iso", "number", "mdy"))
+    month = F.when(dmy, part(DMY_TEXT, 2)).otherwise(part(MDY_TEXT, 1))
+
+    def value(month):
+        value = F.when(dmy, _day(part(DMY_TEXT, 3), month, part(DMY_TEXT, 1))).when(iso, _day(part(ISO, 1), part(ISO, 2), part(ISO, 3)))
+        return value.when(number, _day(part(DMY_NUMBER, 4), part(DMY_NUMBER, 3), part(DMY_NUMBER, 1))).when(mdy, _day(part(MDY_TEXT, 3), month, part(MDY_TEXT, 2)))
+
+    def judged(month, value):
+        status = F.when(missing | placeholder, "missing").when(value.isNotNull(), "ok").otherwise("invalid")
+        none = F.array().cast("array<string>")
+        notes = F.when(missing, none).when(placeholder, _note("placeholder"))
+        notes = notes.when((dmy | ~iso & ~number & mdy) & month.isNull(), _note("unknown_month_name"))
+        notes = notes.when(~(dmy | iso | number | mdy), _note("unrecognised_format")).when(value.isNull(), _note("impossible_calendar_date"))
+        notes = notes.when(clean.rlike(STANDARD_DATE), none).when(~dmy & ~iso & number, F.array(F.lit("alt_format"), F.lit("numeric_day_first_assumed"))).otherwise(_note("alt_format"))
+        return _parsed(F.when(~(missing | placeholder), value), status, notes)
+
+    return _let(_let(month, _month), lambda m: _let(value(m), lambda v: judged(m, v)))
 
 
 def serial_date(number: Column) -> Column:
@@ -133,14 +166,21 @@ def parse_key(text: Column, bare: bool = False) -> Column:
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
     dashes = "‐‑‒–—―−﹘﹣－"
     unified = F.translate(F.translate(F.translate(text, dashes, "-" * len(dashes)), "⁄∕", "//"), wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)))
-    clean = collapse(unified)
-    parts = F.split(clean, "/", 4)
-    raw = [F.get(parts, i) for i in range(3)]
-    flat = [F.replace(F.trim(p), F.lit(" "), F.lit("")) for p in raw]
-    prefix, code, year = F.upper(flat[0]), F.upper(flat[1]), flat[2]
+    named = lambda *columns: F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    return _let(collapse(unified), lambda x: _let(F.split(x, "/", 4), lambda p: _let(named(*_segments(p)), lambda k: _keyed(x, p, [k[f"c{i}"] for i in range(5)], bare))))
+
+
+def _segments(parts: Column) -> list[Column]:
+    flat = [F.replace(F.trim(F.get(parts, i)), F.lit(" "), F.lit("")) for i in range(3)]
     tail = F.trim(F.get(parts, 3))
     serial = F.regexp_extract(tail, r"^([0-9]+)", 1)
-    rest = F.substring(tail, F.char_length(serial) + 1, F.char_length(tail))
+    return [*flat, serial, F.substring(tail, F.char_length(serial) + 1, F.char_length(tail))]
+
+
+def _keyed(clean: Column, parts: Column, found: list[Column], bare: bool) -> Column:
+    flat, (serial, rest) = found[:3], found[3:]
+    raw = [F.get(parts, i) for i in range(3)]
+    prefix, code, year = F.upper(flat[0]), F.upper(flat[1]), flat[2]
     remainder = F.trim(F.regexp_replace(rest, "^[ :-]+", ""))
     error = (
         F.when(F.coalesce(clean, F.lit("")) == "", "empty")
@@ -162,18 +202,22 @@ def parse_key(text: Column, bare: bool = False) -> Column:
         F.when(second != first + 1, F.lit("financial_year_not_consecutive")),
         F.when((remainder != "") & F.lit(bare), F.lit("trailing_text_after_id")),
     )
-    ok = error.isNull()
-    keep = lambda c: F.when(ok, c)
-    return F.struct(
-        keep(F.concat_ws("/", prefix, code, year, serial)).alias("key"),
-        F.when(ok, remainder).otherwise("").alias("remainder"),
-        keep(prefix).alias("prefix"),
-        keep(code).alias("code"),
-        keep(year).alias("year"),
-        keep(serial).alias("serial"),
-        F.when(ok, warnings).otherwise(F.array().cast("array<string>")).alias("warnings"),
-        error.alias("error"),
-    )
+
+    def kept(error):
+        ok = error.isNull()
+        keep = lambda c: F.when(ok, c)
+        return F.struct(
+            keep(F.concat_ws("/", prefix, code, year, serial)).alias("key"),
+            F.when(ok, remainder).otherwise("").alias("remainder"),
+            keep(prefix).alias("prefix"),
+            keep(code).alias("code"),
+            keep(year).alias("year"),
+            keep(serial).alias("serial"),
+            F.when(ok, warnings).otherwise(F.array().cast("array<string>")).alias("warnings"),
+            error.alias("error"),
+        )
+
+    return _let(error, kept)
 
 
 def is_unkeyed(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspan.functions.parse import is_unkeyed, parse_amount, parse_date, parse_key, serial_date
+from quillspan.functions.parse import is_amount, is_unkeyed, parse_amount, parse_date, parse_key, serial_date
 from quillspan.functions.text import collapse, decimal_text, has_suspect_encoding, missing_kind, normalize_text, values_equal
 from quillspan.plans.contracts import Source
 
@@ -51,8 +51,8 @@ def totals_reason(source: Source) -> Column:
     """Why a row reads as a totals row, from its own cells; null if it doesn't."""
     some = lambda tests: reduce(lambda a, b: a | b, tests, F.lit(False))
     labels = [F.coalesce(F.col(c), F.lit("")) for c in source.labels]
-    number = some([F.coalesce(parse_amount(F.col(c))["status"] == "ok", F.lit(False)) for c in source.no_numbers])
-    wrong = some([(F.col(f"{c}__p.status") == "invalid") & (parse_amount(F.col(f"{c}__raw"))["status"] == "ok") for c, k in source.columns.items() if k == "date"])
+    number = some([is_amount(F.col(c)) for c in source.no_numbers])
+    wrong = some([F.when(F.col(f"{c}__p.status") == "invalid", is_amount(F.col(f"{c}__raw"))).otherwise(False) for c, k in source.columns.items() if k == "date"])
     alone = F.col(source.amount).isNotNull() & reduce(lambda a, b: a & b, [F.col(c).isNull() for c in source.identity])
     return F.when(some([x.rlike(GRAND_TOTAL) for x in labels]), "grand_total_label").when(some([x.rlike(TOTAL) for x in labels]), "total_label").when(number | wrong, "footer_row").when(alone, "summary_amount_only")
 

@@ -117,3 +117,11 @@ def test_similarity(spark):
 def test_dice(spark, a, b, want):
     df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
     assert df.select(similarity.dice(F.col("a"), F.col("b"))).first()[0] == pytest.approx(want)
+
+
+def test_parsers_compute_each_part_once(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(parse.parse_amount(F.col("t")).alias("a"), parse.parse_date(F.col("t")).alias("d"), parse.parse_key(F.col("t")).alias("k"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("regexp_replace(") <= 8  # of which each stood in dozens of places
+    cells = [("12,345.50", True), ("Rs. 5", True), ("(7)", True), ("1e3", True), ("INR 4", True), ("1-URGENT", False), ("MP/MP1/2024-2025/3", False), ("12/3", False), (None, False), ("", False), ("x", False), ("1 2", False)]
+    rows = spark.createDataFrame(cells, "t string, ok boolean").select("ok", parse.is_amount(F.col("t")).alias("a"), F.coalesce(parse.parse_amount(F.col("t"))["status"] == "ok", F.lit(False)).alias("b")).collect()
+    assert all(r.ok == r.a == r.b for r in rows)
