@@ -193,3 +193,12 @@ def test_contracts(spark):
     assert out.columns == ["work_id", "amount", "extra"] and out.first().amount is None
     with pytest.raises(ContractError):
         bind_columns(df, {"state": []}, ["state"])
+
+
+def test_single_pairs_need_no_rounds(spark):
+    from quillspan.operators.components import connected_components
+
+    pairs = spark.createDataFrame([(1, 2), (4, 3)], "a long, b long")
+    assert {tuple(x) for x in connected_components(pairs, max_rounds=1).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
+    chain = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (6, 4)], "a long, b long")
+    assert {tuple(x) for x in connected_components(chain).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)}
