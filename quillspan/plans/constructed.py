@@ -162,7 +162,7 @@ def twin_works(spark, d: str) -> tuple[DataFrame, DataFrame]:
     other = F.when(F.col("k") % 3 == 0, 1000).when(F.col("k") % 3 == 1, 960).otherwise(700).cast("decimal(18,2)")
     two = o.select(key(2 * F.col("k") + 1).alias("id"), *place, name.alias("description"), other.alias("amount"), F.date_add("d0", (F.col("k") % 120).cast("int")).alias("day"))
     pairs = o.select(key(2 * F.col("k")).alias("id_a"), key(2 * F.col("k") + 1).alias("id_b"))
-    return duplicates.prepare(one.unionByName(two)), pairs
+    return duplicates.described(one.unionByName(two)), pairs
 
 
 #: 45 for equal texts, 15 for four common tokens, 5 for the category, 3 for consecutive serials; then the place, the amounts and the days.
