@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.memory import parts, releasing
+from quillspan.llm.memory import bounded_batches, parts, releasing
 from quillspan.llm.simhash import TILE, fold_hashes, link_bucket, pivot_table, shingle_hashes, with_pivot_table
 from quillspan.operators.components import connected_components
 from quillspan.session import drop_scratch, scratch
@@ -35,7 +35,9 @@ PAIR_RUN = 4
 #: Rows whose shingles are counted, about, and the share of them from which on a shingle is frequent.
 SAMPLE, FREQUENT = 4000, 0.002
 #: Shingles of a family's tile; a larger family is split.
-TILE_SHINGLES = 1 << 20
+TILE_SHINGLES = 1 << 19
+#: Postings that are counted in a step.
+PLACES = 1 << 18
 #: Candidates of a set in a bucket that are verified first; what they join needs no other link.
 FIRST = 1
 SET_COLUMNS = ["key", "sig", "fp", "n", "head"]
@@ -179,19 +181,34 @@ def _family_links(t: dict[str, np.ndarray], radius: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
 
+def _common(posted: np.ndarray, first: np.ndarray, many: np.ndarray, sets: int) -> np.ndarray:
+    """How often each of the sets stands in postings that begin at ``first`` and are ``many`` long; PLACES of them are looked at in a step, or one posting."""
+    total, ends, a = np.zeros(sets, np.int64), np.cumsum(many), 0
+    while a < len(many):
+        before = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + PLACES, side="right")))
+        places = np.arange(int(ends[b - 1]) - before)
+        places += np.repeat(first[a:b] - (ends[a:b] - many[a:b] - before), many[a:b])
+        total += np.bincount(posted[places], minlength=sets)
+        a = b
+    return total
+
+
 def exact_stars(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A star (member, root) for each group of sets that 0.8 joins: common shingles are counted over an index of the sets."""
     sizes = np.array([len(x) for x in sets])
     ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     flat = np.concatenate(sets)
-    order = np.argsort(flat, kind="stable")
-    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+    order = np.argsort(flat, kind="stable").astype(np.int32)
+    flat = flat[order]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    del flat  # each of these is as long as all sets together
     first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(flat)))
-    number = np.empty(len(flat), np.int64)
-    number[order] = np.cumsum(new) - 1
-    posted = owner[order]
+    times = np.diff(np.append(first, len(order)))
+    number = np.empty(len(order), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - 1
+    posted = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[order]
+    del order, new
     left, stars = np.arange(len(sets)), []
     while len(left) > 1:
         root, left = int(left[0]), left[1:]
@@ -200,9 +217,7 @@ def exact_stars(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             i = todo.pop()
             own = number[ends[i] - sizes[i] : ends[i]]
             own = own[times[own] > 1]
-            many = times[own]
-            places = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-            common = np.bincount(posted[places], minlength=len(sets))
+            common = _common(posted, first[own], times[own], len(sets))
             ok = 9 * common[left] >= 4 * (sizes[left] + sizes[i])
             near, left = left[ok].tolist(), left[~ok]
             stars += [(j, root) for j in near]
@@ -386,7 +401,9 @@ def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", s
 
     Null and empty texts have no row; repeated keys and equal rows have a row each; the key may be of any type that has an
     order, and must not be null. Very long texts are read in stretches. An empty table gives none; other columns aren't read.
+    The session's Arrow batches are bounded from then on.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     plain = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     frequent = frequent_shingles(plain, shingle, seed)

@@ -130,3 +130,52 @@ def test_tiles_and_the_order_of_shingles_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "TILE_SHINGLES", 300)
     monkeypatch.setattr(nearcopies, "SAMPLE", 40)  # with it, nearly every repeated shingle is frequent
     assert sorted(map(tuple, nearcopies.near_copy_groups(docs).collect())) == whole
+
+
+def test_exact_step_needs_few_bytes_a_shingle():
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    new = lambda: r.integers(0, 2**63, 400, dtype=np.int64).view(np.uint64)
+    base = new()
+    for changed in (0.02, 1.0):  # near copies, and sets that only chance joined
+        sets = [np.unique(np.where(r.random(400) < changed, new(), base)) for _ in range(1000)]
+        tracemalloc.start()
+        stars = nearcopies.exact_stars(sets)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(stars) == (999 if changed < 1 else 0)
+        assert most < 42 * sum(map(len, sets))  # a tile's shingles and indexes in one worker
+
+
+def test_stars_are_the_same_in_small_steps(monkeypatch):
+    r = random.Random(6)
+    base = [r.randrange(1 << 60) for _ in range(60)]
+    sets = [np.unique(np.array([r.randrange(90) if r.random() < 0.1 else x for x in base], np.uint64)) for _ in range(40)]
+    whole = nearcopies.exact_stars(sets)
+    monkeypatch.setattr(nearcopies, "PLACES", 7)
+    assert whole and nearcopies.exact_stars(sets) == whole
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    import pyarrow as pa
+
+    from quillspan.llm import memory
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+        assert nearcopies.near_copy_groups(docs).count() == 2
+        long = spark.range(3000, numPartitions=1).selectExpr("repeat(cast(id as string), 3000) as text")  # 33 MB in one task
+        most = max(r.n for r in long.mapInArrow(sizes, "n long").collect())
+        assert most < 1.5 * memory.BATCH_BYTES
+        spark.conf.set(name, "1000")  # a smaller limit stays
+        memory.bounded_batches(spark)
+        assert spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.set(name, before)
