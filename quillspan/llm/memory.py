@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 #: Bytes of rows in an Arrow batch, about. The JVM holds one beside its heap for each task, in buffers that double, and the worker another.
-BATCH_BYTES = 8 << 20
+#: Buffers up to 4 MB come from the JVM's pool and are used again; larger ones are allocated and freed each time.
+BATCH_BYTES = 1 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -30,12 +31,23 @@ def release() -> None:
         pass
 
 
+def pieces(batch: pa.RecordBatch, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch cut into slices of ``size`` bytes at most, in order; a longer row is a slice of its own."""
+    if batch.nbytes <= size or batch.num_rows < 2:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from pieces(batch.slice(0, half), size)
+    yield from pieces(batch.slice(half), size)
+
+
 def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, and at its end what it has freed is given back."""
+    """``run``, whose batches go to the JVM in pieces; at its end what it has freed is given back."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            for batch in run(batches):
+                yield from pieces(batch)
         finally:
             release()
 

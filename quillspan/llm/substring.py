@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.memory import parts, releasing
+from quillspan.llm.memory import BATCH_BYTES, bounded_batches, parts, releasing
 from quillspan.llm.words import spread
 from quillspan.session import drop_scratch, scratch
 
@@ -59,12 +59,14 @@ def _keys(whole: bytes, starts: np.ndarray, ends: np.ndarray, places: np.ndarray
 
 
 def _batched(rows, schema: pa.Schema, most: int = 400) -> Iterator[pa.RecordBatch]:
-    held = []
+    """Batches of ``most`` rows, or fewer whose arrays reach BATCH_BYTES: a long text's windows are some 20 bytes a word."""
+    held, size = [], 0
     for row in rows:
         held.append(row)
-        if len(held) == most:
+        size += sum(x.nbytes for x in row if isinstance(x, np.ndarray))
+        if len(held) == most or size >= BATCH_BYTES:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
-            held = []
+            held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
@@ -118,6 +120,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     windows whose word sequence also starts in a document with a smaller key, by their first word's place.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     slim = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
     rows = scratch(slim.mapInArrow(releasing(_anchors), "key long, seq binary, anchors array<long>"), "anchors")
     # Copies: the first of each word sequence stands for all of them from here on.
@@ -171,7 +174,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Columns of ``docs`` named n_words, n_removed or kept_sha256 are replaced.
 
     Shuffles: anchors (a fifth of the words, 16 bytes each) twice, the windows around shared anchors twice, and the
-    texts twice, each time against a narrow table. A passage that any share of the documents has is first counted
+    texts twice, each time against a narrow table. The session's Arrow batches are bounded from then on. A passage that any share of the documents has is first counted
     map-side; the joins against those counts are sort-merge joins, whose hot keys AQE splits.
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256")

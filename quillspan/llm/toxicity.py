@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.memory import parts, releasing
+from quillspan.llm.memory import bounded_batches, parts, releasing
 from quillspan.llm.words import stretches
 from quillspan.session import scratch
 
@@ -286,8 +286,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     labels; the calibration is fitted to those scores. Without labels of both kinds every score is the mean label, or 1/2.
 
     The sample's keys and labels (16 bytes each) are broadcast to the scan of the texts; its features, some 130 bytes a row and
-    fold, go to the driver.
+    fold, go to the driver. The session's Arrow batches are bounded from then on.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.select(labels[key].cast("long").alias("key"), labels[label].cast("int").alias("toxic")).where("key is not null and toxic is not null")
     known = known.where(~held_out("key")).groupBy("key").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("key"), "key").limit(most)
     slim = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
@@ -319,7 +320,9 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
 
     Null and empty texts get the score of a text without any feature; a very long one is read in stretches. Null and repeated
     keys don't matter, equal texts get equal scores, an empty table gives none. Columns named score or predicted are replaced.
+    The session's Arrow batches are bounded from then on.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     names, heads = docs.columns, lexicon_heads(model.learned)
 
